@@ -22,10 +22,11 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import materialize, ship, text_or_empty
 
 MOST, BLOCK_ROWS, SHARDS, SEED = 3, 1024, 16, 7
 WEIGHTS = (1, 2, 3)
@@ -72,6 +73,24 @@ def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+def _fitting(block: pd.DataFrame) -> pd.DataFrame:
+    """The block where a source's target falls, with the documents that the partial pass takes: in permuted order every
+    one that leaves the sum within what remains of the target, then one more if that comes nearer."""
+    block = block.sort_values(["_h", "size", "_id"], kind="stable")
+    left = float(block["rest"].iloc[0] - block["_before"].iloc[0])
+    taken, over = [], None
+    for i, size in enumerate(block["size"].tolist()):
+        fits = 0 < size <= left
+        taken.append(fits)
+        if fits:
+            left -= size
+        elif size and (over is None or size < over[0]):
+            over = (size, i)
+    if over and over[0] - left < left:
+        taken[over[1]] = True
+    return block.assign(last=taken)
+
+
 def sizes_of(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
     size = F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long")
@@ -83,6 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """For every row its id, source, size, source_size, target, taken, and draws: an array of (shard, pass, position), one
     for each time that the mix takes the document; a shard is read in order of position."""
     spark = docs.sparkSession
+    ship(spark)
     rows = materialize(sizes_of(docs, id_col, source_col, text_col), "mix-sizes")
     sums = rows.groupBy("_source").agg(F.sum("size").alias("total"), F.count("*").alias("n")).collect()
     # By code point, which is the order of UTF-8 bytes; null last.
@@ -112,15 +132,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     shard_of = spark.createDataFrame([(i, e) for i, e in enumerate(edges)], "_s2 int, edges array<long>")
     cut = cells.where(F.col("state") == 1).select(F.col("s").alias("_cs"), F.col("block").alias("_cb"), F.col("before").alias("_before"))
     full = cells.where(F.col("state") == 2).groupBy("s").agg(F.max("block").alias("_full")).select(F.col("s").alias("_fs"), "_full")
-    # At most one block a source is cut; its documents are taken in order while their middle is within the target.
+    # At most one block a source is cut: its documents go one by one, each that still fits.
     edge = keyed.join(F.broadcast(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")))
-    within = Window.partitionBy("s").orderBy("_h", "size", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # As text the id goes through pandas unchanged, null or not.
+    edge = edge.withColumn("_id", F.col("_id").cast("string"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edge.schema.fields)
+    edge = edge.groupBy("s").applyInPandas(_fitting, f"{kinds}, last boolean")
     out = keyed.join(F.broadcast(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")), "left_anti").join(F.broadcast(full), F.col("s") == F.col("_fs"), "left")
     out = out.withColumn("last", F.coalesce(F.col("block") <= F.col("_full"), F.lit(False)) & (F.col("rest") > 0))
-    edge = edge.withColumn("last", (F.col("size") > 0) & (F.col("_at") + F.col("size") / 2 <= F.col("rest")))
     columns = ["_id", "_source", "size", "source_size", "target", "passes", "blocks", "s", "block", "last", "_h"]
-    both = out.select(*columns).unionByName(edge.select(*columns)).join(F.broadcast(shard_of), F.col("s") == F.col("_s2"))
+    both = out.select(*columns).unionByName(edge.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType)).select(*columns)).join(F.broadcast(shard_of), F.col("s") == F.col("_s2"))
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("last").cast("int")).otherwise(F.lit(0))
     number = lambda p: p * F.col("blocks") + F.col("block")  # noqa: E731  of a pass's block among all the source's
     draw = lambda p: F.struct(F.size(F.filter("edges", lambda e: e <= number(p))).alias("shard"), p.cast("int").alias("pass"), F.xxhash64(F.lit(SEED), "_h", p).alias("position"))

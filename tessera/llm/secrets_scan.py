@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,8 +139,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _redact(mask: str):
     def run(batches):
-        import pandas as pd
-
         for texts in batches:
             out = []
             for t in texts:
@@ -159,10 +159,6 @@ def _redact(mask: str):
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with the secret values of the text masked: of an assignment its value, of other kinds the whole span.
     Null texts stay null, and texts without secrets are unchanged."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     ship(docs.sparkSession)
     inner = _redact(mask)
 

@@ -17,6 +17,7 @@ repeated rows get equal scores; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ LENGTHS = (0, 4, 5, 6, 7, 8)
 # Insults.
 LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "dumbass", "imbecile", "loser", "losers", "trash", "garbage", "scum", "scumbag", "filth", "vermin", "worthless", "pathetic", "disgusting", "clown", "fool", "jerk", "bastard", "bitch", "asshole", "crap", "damn", "hate", "kill", "ugly", "retard", "retarded", "freak", "creep", "coward", "liar", "shut", "sucks", "screw", "hell")
 PATTERNS = ("shouting", "exclaiming", "second_person", "disguised")
+#: Numbers besides the votes: the patterns, log of 1 + words that any voter hits, and their share of the words.
+DENSE = len(PATTERNS) + 2
 # Signs that stand for letters in disguised spelling.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _PLAIN = K.SAME.copy()
@@ -95,27 +98,32 @@ def _mine(batches):
 
 
 def _features(col: pa.Array, table: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Votes [rows, voters] and patterns [rows, PATTERNS] of whole texts."""
+    """Votes [rows, voters] and numbers [rows, DENSE] of whole texts."""
     n = len(col)
-    votes, patterns = np.zeros((n, table["voters"]), bool), np.zeros((n, len(PATTERNS)), np.float32)
+    votes, patterns = np.zeros((n, table["voters"]), bool), np.zeros((n, DENSE))
     for lo, hi, data, off in K.chunks(col):
         if not len(data):
             continue
         low = fold(data)
         starts, ends, first = K.words(low, off, K.LETTER)
         row = np.repeat(np.arange(lo, hi), np.diff(first))
+        struck = np.zeros(len(starts), bool)
         for length, (known, number) in table["by_length"].items():
             h, which = _hashes(low, starts, ends, length)
             if len(h) and len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = np.flatnonzero(known[at] == h)
                 votes[row[which[hit]], number[at[hit]]] = True
+                struck[which[hit]] = True
         size = np.maximum(np.diff(off), 1)
         sums = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask[data])])[off])
         upper, bangs, letters = sums(_UPPER), sums(_BANG), sums(K.LETTER)
         patterns[lo:hi, 0] = upper > 0.5 * np.maximum(letters, 1)
         patterns[lo:hi, 1] = bangs > 0.01 * size
         if len(starts):
+            hits = np.bincount(row - lo, weights=struck, minlength=hi - lo)
+            patterns[lo:hi, -2] = np.log1p(hits)
+            patterns[lo:hi, -1] = np.minimum(1, 20 * hits / np.maximum(np.diff(first), 1))
             you = np.isin(K.span_hashes(low, starts, ends, K.SAME), table["you"])
             patterns[lo:hi, 2] = np.bincount(row - lo, weights=you, minlength=hi - lo) > 0.02 * np.maximum(np.diff(first), 1)
         # Words with a sign in the place of a letter, read as if it were the letter.
@@ -134,9 +142,8 @@ def _features(col: pa.Array, table: dict) -> tuple[np.ndarray, np.ndarray]:
 def _votes(shared):
     def run(batches):
         for batch in batches:
-            votes, patterns = _features(batch.column(1), shared.value)
-            both = np.concatenate([votes, patterns > 0], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.packbits(both, axis=1)], pa.binary())], names=["toxic", "votes"])
+            votes, dense = _features(batch.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.packbits(votes, axis=1)], pa.binary()), pa.array([r.tolist() for r in dense], pa.list_(pa.float64()))], names=["toxic", "votes", "dense"])
 
     return run
 
@@ -176,7 +183,7 @@ def _correlations(v: np.ndarray, post: np.ndarray, rates: np.ndarray, weight: np
     return out
 
 
-def linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Weights (the last one is the intercept) of a logistic regression on soft targets, by Newton's method."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
@@ -234,22 +241,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             chosen.append((h, -1))
     table = _table(chosen)
     shared = spark.sparkContext.broadcast(table)
-    got = rows.transform(map_arrow, _votes(shared), "toxic int, votes binary").collect()
-    got.sort(key=lambda r: (r["toxic"], bytes(r["votes"])))
-    width = len(chosen) + len(PATTERNS)
-    votes = np.unpackbits(np.frombuffer(b"".join(bytes(r["votes"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, :width]
+    got = rows.transform(map_arrow, _votes(shared), "toxic int, votes binary, dense array<double>").collect()
+    got.sort(key=lambda r: (r["toxic"], bytes(r["votes"]), r["dense"]))
+    votes = np.unpackbits(np.frombuffer(b"".join(bytes(r["votes"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(chosen)].astype(bool)
+    dense = np.array([r["dense"] for r in got])
     gold = np.array([r["toxic"] for r in got], float)
     weight = np.where(gold > 0, total[1] / n[1], total[0] / n[0])
-    post, labeller = label_model(votes, gold, weight)
-    return table | {"labeller": labeller, "linear": linear(votes.astype(float), post, weight)}
+    post, labeller = label_model(np.concatenate([votes, dense[:, : len(PATTERNS)] > 0], axis=1), gold, weight)
+    # The voters' joint log odds, after the discounts, are a feature of their own.
+    rates, discount = np.clip(labeller["rates"], 1e-4, 1 - 1e-4), labeller["discount"]
+    fire = (np.log(rates[1] / rates[0]) - np.log((1 - rates[1]) / (1 - rates[0]))) * discount
+    model = table | {"labeller": labeller, "fire": fire[: len(chosen)]}
+    return model | {"linear": linear(_inputs(votes, dense, model), post, weight)}
+
+
+def _inputs(votes: np.ndarray, dense: np.ndarray, model: dict) -> np.ndarray:
+    odds = votes @ np.maximum(model["fire"], 0)
+    return np.concatenate([votes, dense, np.minimum(odds, 20)[:, None] / 5], axis=1)
 
 
 def _scores(texts: pa.Array, model: dict) -> np.ndarray:
     if "constant" in model:
         return np.full(len(texts), float(model["constant"]))
-    votes, patterns = _features(texts, model)
-    w, n = model["linear"], model["voters"]
-    return 1 / (1 + np.exp(-np.clip(votes @ w[:n] + (patterns > 0) @ w[n:-1] + w[-1], -30, 30)))
+    x, w = _inputs(*_features(texts, model), model), model["linear"]
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
 def _score(shared):
@@ -271,8 +286,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``limit`` or more."""
-    import pandas as pd
-
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
