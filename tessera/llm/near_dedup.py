@@ -31,6 +31,8 @@ from tessera.llm.common import map_arrow, materialize, small, text_key, text_or_
 SHINGLE, SIMILAR, SIDE, WIDTH = 5, 85, 10, 2
 #: Pairs of different components up to which a bucket emits them.
 FEW = 16
+#: Shingles of a prefix by which pairs are told to have met already.
+HEAD = 16
 
 _MULT = K.splitmix(2 * SIDE * WIDTH, 71) | K.U64(1)
 _XOR = K.splitmix(2 * SIDE * WIDTH, 72)
@@ -129,10 +131,12 @@ def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     shared = x.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     y = x.join(shared, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("by"))
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - (F.col("n") - F.size("by"))
-    kept = y.where(prefix > 0).select("node", "root", "n", F.explode(F.slice("by", F.lit(1), prefix.cast("int"))).alias("r"))
-    kept = kept.select(F.struct("node", "n").alias("x"), "root", F.col("r.s").alias("s"))
-    other = kept.select(F.col("x").alias("y"), F.col("root").alias("root2"), "s")
-    return kept.join(other, "s").where("root != root2 and x.node < y.node").select("x", "y")
+    y = y.where(prefix > 0).select("node", "root", "n", F.transform(F.slice("by", F.lit(1), prefix.cast("int")), lambda r: r["s"]).alias("p"))
+    kept = y.select(F.struct("node", "n").alias("x"), "root", F.slice("p", 1, HEAD).alias("head"), F.explode("p").alias("s"))
+    other = kept.select(F.col("x").alias("y"), F.col("root").alias("root2"), F.col("head").alias("head2"), "s")
+    # A pair comes once for each shared shingle of the prefixes; where the heads share any, the first one alone counts.
+    once = F.coalesce(F.try_element_at(F.array_intersect("head", "head2"), F.lit(1)), F.col("s")) == F.col("s")
+    return kept.join(other, "s").where("root != root2 and x.node < y.node").where(once).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
