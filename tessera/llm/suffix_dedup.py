@@ -243,6 +243,25 @@ def _window_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), same(rows["d1"][i]), same(rows["d2"][i]), pa.array(at.astype(np.int32))], names=["w1", "w2", "d1", "d2", "start"])
 
 
+def _united(batches):
+    """Each text's marks as its few maximal stretches."""
+    pair = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+    for batch in batches:
+        out = []
+        for marks in batch.column(2):
+            runs: list[list[int]] = []
+            for a, b in sorted((m["start"], m["stop"]) for m in marks.as_py()):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b])
+            out.append([{"start": a, "stop": b} for a, b in runs])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pair))], names=["d1", "d2", "marks"])
+
+
+_MARKS = "marks array<struct<start:int,stop:int>>"
+
+
 def _removed(batches):
     """The kept bytes and the maximal removed stretches."""
     pair = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -253,13 +272,8 @@ def _removed(batches):
         for i, marks in enumerate(batch.column(2)):
             text = raw[off[i] : off[i + 1]]
             own = marks.as_py()
-            runs: list[list[int]] = []
-            for a, b in sorted((m["start"], m["stop"]) for m in own) if own else ():
-                b = min(b, len(text))
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], b)
-                else:
-                    runs.append([a, b])
+            # A context at the end of a text reaches beyond it.
+            runs = [(m["start"], min(m["stop"], len(text))) for m in own or ()]
             left, at = [], 0
             for a, b in runs:
                 left.append(text[at:a])
@@ -268,7 +282,7 @@ def _removed(batches):
             kept.append(b"".join(x.tobytes() for x in left))
             spans.append([{"start": a, "stop": b} for a, b in runs])
             size += len(kept[-1])
-            if size > 16 * K.CHUNK or i + 1 == batch.num_rows:
+            if size > 4 * K.CHUNK or i + 1 == batch.num_rows:
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, i + 1 - lo), pa.array(np.diff(off)[lo : i + 1]), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
                 spans, kept, size, lo = [], [], 0, i + 1
 
@@ -277,6 +291,8 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """d1, d2, marks (array of start, stop) for every distinct text that has repeated stretches; ``texts`` has one column."""
     name = texts.columns[0]
     keys = texts.transform(map_arrow, _anchor_keys, "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the join are exchanged for it and a hot anchor's rows can be split.
+    keys = materialize(keys, "repeated-anchors")
     places = texts.transform(map_arrow, _anchor_rows, "anchor long, context long, d1 long, d2 long, place int")
     places = materialize(places.join(keys, "anchor", "left_semi"), "anchors")
     contexts = places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "place")).alias("at"))
@@ -300,7 +316,8 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     counted = windows.join(twice, ["w1", "w2"], "left_semi").select("d1", "d2", "start", (F.col("start") + SPAN).alias("stop"))
     marks = whole.unionByName(resolved).unionByName(counted).distinct()
-    return materialize(marks.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("marks")), "marks")
+    marks = marks.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+    return materialize(marks.transform(map_arrow, _united, f"d1 long, d2 long, {_MARKS}"), "marks")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
