@@ -131,7 +131,7 @@ def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     shared = x.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     y = x.join(shared, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("by"))
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - (F.col("n") - F.size("by"))
-    y = y.where(prefix > 0).select("node", "root", "n", F.transform(F.slice("by", F.lit(1), prefix.cast("int")), lambda r: r["s"]).alias("p"))
+    y = y.where(prefix > 0).select("node", "root", "n", F.transform(F.slice("by", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["s"]).alias("p"))
     kept = y.select(F.struct("node", "n").alias("x"), "root", F.slice("p", 1, HEAD).alias("head"), F.explode("p").alias("s"))
     other = kept.select(F.col("x").alias("y"), F.col("root").alias("root2"), F.col("head").alias("head2"), "s")
     # A pair comes once for each shared shingle of the prefixes; where the heads share any, the first one alone counts.
