@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 #: Rows of a key table (tens of bytes each) up to which it is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 400_000
 
+#: Bytes of a batch between the JVM and a Python worker, which both hold some of them; Spark's default is 64 MB.
+BATCH_BYTES = 8 << 20
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -82,7 +85,8 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package's source to the executors, once a context."""
+    """Hand this package's source to the executors, once a context, and bound the batches of texts that go to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return

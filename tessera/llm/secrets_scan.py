@@ -14,9 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,33 +135,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).transform(map_arrow, _scan, f"id {kind}, {_SPANS}").withColumnRenamed("id", id_col)
 
 
-def _redact(mask: str):
-    def run(batches):
-        for texts in batches:
-            out = []
-            for t in texts:
-                spans = scan_text(t) if t else []
-                parts, at = [], 0
-                for begin, end in sorted((v, e) for _, _, e, v in spans):
-                    if end <= at:
-                        continue
-                    if begin > at or not parts:
-                        parts += [t[at:begin], mask]
-                    at = end
-                out.append("".join(parts) + t[at:] if parts else t)
-            yield pd.Series(out, dtype=object)
-
-    return run
+def redact(text: str, mask: str) -> str:
+    parts, at = [], 0
+    for begin, end in sorted((v, e) for _, _, e, v in scan_text(text)):
+        if end <= at:
+            continue
+        if begin > at or not parts:  # adjoining spans share a mask
+            parts += [text[at:begin], mask]
+        at = end
+    return "".join(parts) + text[at:] if parts else text
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with the secret values of the text masked: of an assignment its value, of other kinds the whole span.
     Null texts stay null, and texts without secrets are unchanged."""
     ship(docs.sparkSession)
-    inner = _redact(mask)
 
-    @F.pandas_udf("string")
-    def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from inner(texts)
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array([redact(t, mask) if t else t for t in texts.to_pylist()], pa.string())
 
     return docs.withColumn(text_col, masked(F.col(text_col).cast("string")))

@@ -17,7 +17,6 @@ repeated rows get equal scores; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,8 +288,8 @@ def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", limit: floa
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scores(pa.array(texts, pa.string(), from_pandas=True), shared.value))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(texts, shared.value))
 
     return docs.where(scored(text_or_empty(text_col)) < limit)
