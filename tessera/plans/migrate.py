@@ -162,7 +162,7 @@ def pull(spark: SparkSession, names: list[str]) -> str:
 
 
 def list_tables(spark: SparkSession, database: str = "default") -> list[dict[str, Any]]:
-    return [{"name": t.name, "columns": len(spark.table(f"{database}.{t.name}").columns), "temporary": t.isTemporary} for t in spark.catalog.listTables(database)]
+    return [{"name": t.name, "columns": len(spark.table(t.name if t.isTemporary else f"{database}.{t.name}").columns), "temporary": t.isTemporary} for t in spark.catalog.listTables(database)]
 
 
 def truncate(spark: SparkSession, name: str, confirmed: bool = False) -> None:

@@ -151,11 +151,16 @@ def blue_green(old: str, new_query: str, target: str, backfill: bool = True) ->
 
 
 def migration_bridge(source: DataFrame, target: str, mapping: dict[str, Column | str], checkpoint: str | None = None):
-    """Copy rows of one version of a table to the next through a column mapping: at once, or for a stream as they come."""
-    shaped = source.select(*[(F.expr(e) if isinstance(e, str) else e).alias(k) for k, e in mapping.items()])
+    """Copy rows of one version of a table to the next through a column mapping: at once, or for a stream as they come. A
+    stream's batch that fails after its write is written again when the stream restarts."""
+    made = lambda df: df.select(*[(F.expr(e) if isinstance(e, str) else e).alias(k) for k, e in mapping.items()])
     if not source.isStreaming:
-        shaped.write.mode("append").parquet(target)
+        made(source).write.mode("append").parquet(target)
         return None
     if not checkpoint:
         raise ValueError("a stream needs a checkpoint folder")
-    return shaped.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+    def batch(rows: DataFrame, _: int) -> None:
+        made(rows).write.mode("append").parquet(target)
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -93,7 +93,7 @@ class Dictionary:
         """The longest prefix that holds the IPv4 address: an equality join for each prefix length that occurs, on the
         address's own prefix of that length."""
         size = F.split(F.col(self.keys[0]), "/")
-        side = self.source.select(ip_number(size[0]).alias("_net"), F.coalesce(size[1].try_cast("int"), F.lit(32)).alias("_len"), F.struct(*[F.col(c) for c in names]).alias("_attrs"))
+        side = self.source.select(ip_number(F.get(size, F.lit(0))).alias("_net"), F.coalesce(F.get(size, F.lit(1)).try_cast("int"), F.lit(32)).alias("_len"), F.struct(*[F.col(c) for c in names]).alias("_attrs"))
         side = side.withColumn("_net", F.floor(F.col("_net") / F.pow(F.lit(2.0), 32 - F.col("_len"))).cast("bigint"))
         sizes = F.sequence(F.lit(0), F.lit(32))
         asked = df.select(F.col(on).alias("_ip")).distinct().withColumn("_n", ip_number(F.col("_ip"))).withColumn("_l", F.explode(sizes))
@@ -118,7 +118,7 @@ class Dictionary:
 def ip_number(text: Column) -> Column:
     """An IPv4 address as a whole number, null if it isn't one."""
     parts = F.split(text, r"\.")
-    n = [parts[i].try_cast("bigint") for i in range(4)]
+    n = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
     ok = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(*n) <= 255)
     return F.when(ok, n[0] * 16777216 + n[1] * 65536 + n[2] * 256 + n[3])
 

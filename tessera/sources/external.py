@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from tessera.types import spark_type
 
+_KEEP = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # Names of formats, Spark's reader and its options.
 FORMATS: dict[str, tuple[str, dict[str, str]]] = {
-    "CSV": ("csv", {}), "CSVWithNames": ("csv", {"header": "true"}), "TSV": ("csv", {"sep": "\t"}), "TabSeparated": ("csv", {"sep": "\t"}), "TSVWithNames": ("csv", {"sep": "\t", "header": "true"}), "TabSeparatedWithNames": ("csv", {"sep": "\t", "header": "true"}),
+    "CSV": ("csv", _KEEP), "CSVWithNames": ("csv", {"header": "true", **_KEEP}), "TSV": ("csv", {"sep": "\t", **_KEEP}), "TabSeparated": ("csv", {"sep": "\t", **_KEEP}), "TSVWithNames": ("csv", {"sep": "\t", "header": "true", **_KEEP}), "TabSeparatedWithNames": ("csv", {"sep": "\t", "header": "true", **_KEEP}),
     "JSONEachRow": ("json", {}), "JSON": ("json", {"multiLine": "true"}), "Parquet": ("parquet", {}), "ORC": ("orc", {}), "Avro": ("avro", {}), "Text": ("text", {}),
 }
 COMPRESSIONS = {"none": "none", "gzip": "gzip", "gz": "gzip", "zstd": "zstd", "lz4": "lz4", "bz2": "bzip2"}
