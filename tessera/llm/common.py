@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 400_000
 
 #: Bytes of a batch between the JVM and a Python worker, which both hold some of them; Spark's default is 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

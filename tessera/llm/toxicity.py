@@ -45,12 +45,12 @@ _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _BANG = np.arange(256) == ord("!")
 
 
-def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(text: K.Starts, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words' beginnings of that length, and which words are long enough."""
     if not length:
-        return K.span_hashes(low, starts, ends, K.SAME), np.arange(len(starts))
+        return text.hashes(starts, ends), np.arange(len(starts))
     long = np.flatnonzero(ends - starts >= length)
-    return K.span_hashes(low, starts[long], starts[long] + length, K.SAME) + K.U64(length), long
+    return text.hashes(starts[long], starts[long] + length) + K.U64(length), long
 
 
 def _of_words(words: tuple[str, ...]) -> np.ndarray:
@@ -79,9 +79,9 @@ def _mine(batches):
             starts, ends, first = K.words(low, off, K.LETTER)
             if not len(starts):
                 continue
-            row = np.repeat(np.arange(hi - lo), np.diff(first))
+            row, text = np.repeat(np.arange(hi - lo), np.diff(first)), K.Starts(low)
             for length in LENGTHS:
-                h, which = _hashes(low, starts, ends, length)
+                h, which = _hashes(text, starts, ends, length)
                 key = np.stack([row[which].astype(K.U64), h])
                 order = np.lexsort(key[::-1])
                 key = key[:, order]
@@ -106,9 +106,9 @@ def _features(col: pa.Array, table: dict) -> tuple[np.ndarray, np.ndarray]:
         low = fold(data)
         starts, ends, first = K.words(low, off, K.LETTER)
         row = np.repeat(np.arange(lo, hi), np.diff(first))
-        struck = np.zeros(len(starts), bool)
+        struck, text = np.zeros(len(starts), bool), K.Starts(low)
         for length, (known, number) in table["by_length"].items():
-            h, which = _hashes(low, starts, ends, length)
+            h, which = _hashes(text, starts, ends, length)
             if len(h) and len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = np.flatnonzero(known[at] == h)
@@ -123,7 +123,7 @@ def _features(col: pa.Array, table: dict) -> tuple[np.ndarray, np.ndarray]:
             hits = np.bincount(row - lo, weights=struck, minlength=hi - lo)
             patterns[lo:hi, -2] = np.log1p(hits)
             patterns[lo:hi, -1] = np.minimum(1, 20 * hits / np.maximum(np.diff(first), 1))
-            you = np.isin(K.span_hashes(low, starts, ends, K.SAME), table["you"])
+            you = np.isin(text.hashes(starts, ends), table["you"])
             patterns[lo:hi, 2] = np.bincount(row - lo, weights=you, minlength=hi - lo) > 0.02 * np.maximum(np.diff(first), 1)
         # Words with a sign in the place of a letter, read as if it were the letter.
         s2, e2, f2 = K.words(data, off, _DISGUISE)
