@@ -7,6 +7,8 @@ Executors can be lost at any time, so lineage is cut only by tables written to t
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -78,10 +80,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """``df.mapInArrow`` whose workers can import this package, wherever they run."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` whose workers can import this package, wherever they run, and give back their memory at the end of
+    a task: Spark keeps idle workers for later tasks, beside a JVM that then needs the memory."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def ship(spark: SparkSession) -> None:

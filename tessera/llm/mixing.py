@@ -22,9 +22,10 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import materialize, ship, text_or_empty
 
@@ -73,13 +74,13 @@ def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def _fitting(block: pd.DataFrame) -> pd.DataFrame:
+def _fitting(block: pa.Table) -> pa.Table:
     """The block where a source's target falls, with the documents that the partial pass takes: in permuted order every
     one that leaves the sum within what remains of the target, then one more if that comes nearer."""
-    block = block.sort_values(["_h", "size", "_id"], kind="stable")
-    left = float(block["rest"].iloc[0] - block["_before"].iloc[0])
+    block = block.sort_by([("_h", "ascending"), ("size", "ascending"), ("_id", "ascending")])
+    left = block["rest"][0].as_py() - block["_before"][0].as_py()
     taken, over = [], None
-    for i, size in enumerate(block["size"].tolist()):
+    for i, size in enumerate(block["size"].to_pylist()):
         fits = 0 < size <= left
         taken.append(fits)
         if fits:
@@ -88,7 +89,7 @@ def _fitting(block: pd.DataFrame) -> pd.DataFrame:
             over = (size, i)
     if over and over[0] - left < left:
         taken[over[1]] = True
-    return block.assign(last=taken)
+    return block.append_column("last", pa.array(taken, pa.bool_()))
 
 
 def sizes_of(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -134,14 +135,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     full = cells.where(F.col("state") == 2).groupBy("s").agg(F.max("block").alias("_full")).select(F.col("s").alias("_fs"), "_full")
     # At most one block a source is cut: its documents go one by one, each that still fits.
     edge = keyed.join(F.broadcast(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")))
-    # As text the id goes through pandas unchanged, null or not.
-    edge = edge.withColumn("_id", F.col("_id").cast("string"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edge.schema.fields)
-    edge = edge.groupBy("s").applyInPandas(_fitting, f"{kinds}, last boolean")
+    edge = edge.groupBy("s").applyInArrow(_fitting, T.StructType([*edge.schema.fields, T.StructField("last", T.BooleanType())]))
     out = keyed.join(F.broadcast(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")), "left_anti").join(F.broadcast(full), F.col("s") == F.col("_fs"), "left")
     out = out.withColumn("last", F.coalesce(F.col("block") <= F.col("_full"), F.lit(False)) & (F.col("rest") > 0))
     columns = ["_id", "_source", "size", "source_size", "target", "passes", "blocks", "s", "block", "last", "_h"]
-    both = out.select(*columns).unionByName(edge.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType)).select(*columns)).join(F.broadcast(shard_of), F.col("s") == F.col("_s2"))
+    both = out.select(*columns).unionByName(edge.select(*columns)).join(F.broadcast(shard_of), F.col("s") == F.col("_s2"))
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("last").cast("int")).otherwise(F.lit(0))
     number = lambda p: p * F.col("blocks") + F.col("block")  # noqa: E731  of a pass's block among all the source's
     draw = lambda p: F.struct(F.size(F.filter("edges", lambda e: e <= number(p))).alias("shard"), p.cast("int").alias("pass"), F.xxhash64(F.lit(SEED), "_h", p).alias("position"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, ship, text_or_empty
+from tessera.llm.common import map_arrow, text_or_empty
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as a power of ten, from which a value in a credential's context is a secret.
@@ -149,10 +149,11 @@ def redact(text: str, mask: str) -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with the secret values of the text masked: of an assignment its value, of other kinds the whole span.
     Null texts stay null, and texts without secrets are unchanged."""
-    ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
 
-    @F.arrow_udf("string")
-    def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([redact(t, mask) if t else t for t in texts.to_pylist()], pa.string())
+    def run(batches):
+        for batch in batches:
+            texts = pa.array([redact(t, mask) if t else t for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
+            yield batch.set_column(place, batch.schema.field(place), texts)
 
-    return docs.withColumn(text_col, masked(F.col(text_col).cast("string")))
+    return docs.transform(map_arrow, run, docs.schema)

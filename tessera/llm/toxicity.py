@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
-from tessera.llm.common import map_arrow, materialize, ship, text_or_empty
+from tessera.llm.common import map_arrow, materialize, text_or_empty
 from tessera.llm.language_id import fold
 
 FIT_ROWS, VOTERS, SUPPORT, LIFT = 4096, 256, 3, 3.0
@@ -285,11 +285,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``limit`` or more."""
-    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
-    @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(_scores(texts, shared.value))
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(place), shared.value) < limit))
 
-    return docs.where(scored(text_or_empty(text_col)) < limit)
+    return docs.transform(map_arrow, run, docs.schema)
