@@ -206,3 +206,31 @@ def final(df: DataFrame, engine: Engine, order_by: list[str] | tuple[str, ...],
 def optimize(df: DataFrame, engine: Engine, order_by: list[str], path: str, **how: Any) -> None:
     """Write the merged rows, sorted by the key within files, to another path; the caller swaps it in."""
     final(df, engine, order_by, **how).sortWithinPartitions(*order_by).write.mode("overwrite").parquet(path)
+
+
+def prepared(df: DataFrame, engine: Engine) -> DataFrame:
+    """The right side that a Join engine keeps ready: cached, and for ANY joins one row of each key."""
+    if engine.base.name != "Join":
+        raise ValueError(f"{engine.name} keeps no join side")
+    keys = list(engine.base.columns)
+    return (df.dropDuplicates(keys) if engine.option("strictness", "ALL").upper() == "ANY" else df).persist()
+
+
+def fill_defaults(df: DataFrame, *columns: str) -> DataFrame:
+    """Nulls of the columns (all by default) as their types' defaults: 0, empty text or array, false, the start of 1970. For
+    dialects in which a missed join or lookup is not null."""
+    zero = {T.BooleanType: F.lit(False), T.DateType: F.lit("1970-01-01").cast("date"), T.TimestampType: F.timestamp_seconds(F.lit(0)), T.TimestampNTZType: F.lit("1970-01-01").cast("timestamp_ntz")}
+    made = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if not columns or f.name in columns:
+            if isinstance(kind, T.NumericType):
+                c = F.coalesce(c, F.lit(0).cast(kind))
+            elif isinstance(kind, T.StringType):
+                c = F.coalesce(c, F.lit(""))
+            elif isinstance(kind, T.ArrayType):
+                c = F.coalesce(c, F.array().cast(kind))
+            elif type(kind) in zero:
+                c = F.coalesce(c, zero[type(kind)])
+        made.append(c.alias(f.name))
+    return df.select(*made)

@@ -99,6 +99,16 @@ def push(spark: SparkSession, tables: dict[str, TableSpec], dry_run: bool = Fals
     return statements
 
 
+def validate_tables(spark: SparkSession, tables: dict[str, TableSpec]) -> list[str]:
+    """One line for each difference between the specifications and the catalog; none if they agree."""
+    out = []
+    for d in detect_schema_drift(spark, tables):
+        out += [f"{d.table}: missing"] if d.kind == "create" else []
+        out += [f"{d.table}: lacks column {c}" for c in d.added] + [f"{d.table}: {c} is {a}, not {b}" for c, a, b in d.modified]
+        out += [f"{d.table}: has column {c} beyond the specification" for c in d.dropped] + [f"{d.table}: {k} is {a!r}, not {b!r}" for k, a, b in d.options]
+    return out
+
+
 def snapshot(tables: dict[str, TableSpec]) -> dict[str, Any]:
     return {s.name: {"columns": {f.name: {"type": f.dataType.simpleString(), "nullable": f.nullable} for f in s.schema.fields}, "engine": s.engine.name, "order_by": list(s.order_by)} for s in tables.values()}
 

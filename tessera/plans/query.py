@@ -374,6 +374,10 @@ class Query:
             self.df().explain(mode=mode)
         return text.getvalue()
 
+    def explain_pipeline(self) -> str:
+        """The physical operators, one by one."""
+        return self.explain("formatted")
+
     def suggestions(self) -> list[str]:
         """Remarks on the query that need no run."""
         out = []

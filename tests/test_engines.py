@@ -60,3 +60,16 @@ def test_optimize_writes_merged_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, 1), (1, 2)], "k int, v int")
     engines.optimize(df, engines.replacing_merge_tree("v"), ["k"], str(tmp_path / "o"))
     assert rows(spark.read.parquet(str(tmp_path / "o"))) == [(1, 2)]
+
+
+def test_prepared_join_side(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, x string")
+    once = engines.prepared(df, engines.join_engine("ANY", "LEFT", "k"))
+    assert once.count() == 2 and once.is_cached and engines.prepared(df, engines.join_engine("ALL", "LEFT", "k")).count() == 3
+    once.unpersist()
+
+
+def test_defaults_for_nulls(spark):
+    df = spark.createDataFrame([(None, None, None, None, 5)], "n int, s string, a array<int>, b boolean, m int")
+    assert tuple(engines.fill_defaults(df).first()) == (0, "", [], False, 5)
+    assert tuple(engines.fill_defaults(df, "n").first()) == (0, None, None, None, 5)

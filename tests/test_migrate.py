@@ -65,6 +65,12 @@ def test_generate_from_snapshots():
     assert second == ["ALTER TABLE mig_users ADD COLUMNS (`age` int)"] and "mig_users" in M.save_snapshot({"u": users()})
 
 
+def test_validation_lists_differences(spark):
+    assert M.validate_tables(spark, {"u": users()}) == ["mig_users: missing"]
+    M.push(spark, {"u": users()})
+    assert M.validate_tables(spark, {"u": users()}) == [] and M.validate_tables(spark, {"u": users(age=t.int32())}) == ["mig_users: lacks column age"]
+
+
 def test_migrations_run_once(spark):
     files = {"1_a.sql": "CREATE TABLE mig_new (id INT) USING PARQUET; -- made\nINSERT INTO mig_new VALUES (1)", "2_b.sql": "INSERT INTO mig_new VALUES (2)"}
     assert M.migrate(spark, {"1_a.sql": files["1_a.sql"]}, "mig_history") == ["1_a.sql"]
