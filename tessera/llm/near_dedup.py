@@ -130,13 +130,17 @@ def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     x = nodes.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     shared = x.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     y = x.join(shared, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("by"))
-    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - (F.col("n") - F.size("by"))
-    y = y.where(prefix > 0).select("node", "root", "n", F.transform(F.slice("by", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["s"]).alias("p"))
-    kept = y.select(F.struct("node", "n").alias("x"), "root", F.slice("p", 1, HEAD).alias("head"), F.explode("p").alias("s"))
-    other = kept.select(F.col("x").alias("y"), F.col("root").alias("root2"), F.col("head").alias("head2"), "s")
+    alone = F.col("n") - F.size("by")  # shingles of this node only come first in the order
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - alone
+    y = y.where(prefix > 0).select("node", "root", "n", alone.alias("alone"), F.transform(F.slice("by", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["s"]).alias("p"))
+    kept = y.select(F.struct("node", "n").alias("x"), "root", "alone", F.slice("p", 1, HEAD).alias("head"), F.posexplode("p").alias("place", "s"))
+    kept = kept.select("x", "root", "head", "s", (F.col("x.n") - F.col("alone") - F.col("place")).alias("left"))
+    other = kept.select(F.col("x").alias("y"), F.col("root").alias("root2"), F.col("head").alias("head2"), "s", F.col("left").alias("left2"))
     # A pair comes once for each shared shingle of the prefixes; where the heads share any, the first one alone counts.
     once = F.coalesce(F.try_element_at(F.array_intersect("head", "head2"), F.lit(1)), F.col("s")) == F.col("s")
-    return kept.join(other, "s").where("root != root2 and x.node < y.node").where(once).select("x", "y")
+    # If this is the first shared shingle, no more are shared than follow it in either set.
+    enough = F.least("left", "left2") * (100 + SIMILAR) >= SIMILAR * (F.col("x.n") + F.col("y.n"))
+    return kept.join(other, "s").where("root != root2 and x.node < y.node").where(enough & once).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
