@@ -27,7 +27,7 @@ from tessera.llm.common import map_arrow, materialize, small, text_key, text_or_
 #: Words of a window, words of a k-gram, windows of the benchmark that are broadcast at once (about 40 bytes each).
 SPAN, GRAM, INDEX_ROWS = 13, 5, 250_000
 
-_HITS = "words array<int>, sizes array<int>, items array<string>"
+_HITS, _COUNTED = "words array<int>, sizes array<int>, items array<string>", "n_hit long, items array<string>"
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,9 @@ def _hits(w: np.ndarray, first: np.ndarray, index: dict[int, tuple]):
                 yield size, place[found], which[found]
 
 
-def _scan(index):
+def _scan(index, listed: bool):
+    """key, n_words, and either the windows that occur or the number of words that they cover, and their items."""
+
     def run(batches):
         table = index.value
         for batch in batches:
@@ -117,22 +119,26 @@ def _scan(index):
                         begin[r].append(p)
                         sizes[r].append(size)
                         items[r].update(named[k])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(np.diff(first), pa.int64()), pa.array(begin, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
-                    names=["key", "n_words", "words", "sizes", "items"],
-                )
+                named_items = pa.array([sorted(s) for s in items], pa.list_(pa.string()))
+                start = [batch.column(0).slice(lo, n), pa.array(np.diff(first), pa.int64())]
+                if listed:
+                    yield pa.RecordBatch.from_arrays([*start, pa.array(begin, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), named_items], names=["key", "n_words", "words", "sizes", "items"])
+                else:
+                    hit = [_cover(b, s) for b, s in zip(begin, sizes, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*start, pa.array(hit, pa.int64()), named_items], names=["key", "n_words", "n_hit", "items"])
 
     return run
 
 
+def _cover(begin: list[int], sizes: list[int]) -> int:
+    return len(np.unique(K.ranges(np.array(begin, np.int64), np.array(sizes, np.int64)))) if begin else 0
+
+
 def _covered(batches):
     """Adds the number of distinct words that the windows cover."""
     for batch in batches:
         words, sizes = batch.column("words"), batch.column("sizes")
-        hit = []
-        for b, s in zip(words, sizes, strict=True):
-            b, s = np.array(b.as_py() or [], np.int64), np.array(s.as_py() or [], np.int64)
-            hit.append(len(np.unique(K.ranges(b, s))))
+        hit = [_cover(b.as_py() or [], s.as_py() or []) for b, s in zip(words, sizes, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("items")], names=["key", "n_words", "n_hit", "items"])
 
 
@@ -151,10 +157,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(_index([tuple(r) for r in part.collect()]))
-        scans.append(docs.select(key.alias("key"), text_or_empty(text_col)).transform(map_arrow, _scan(index), f"key {kind}, n_words long, {_HITS}"))
+        scans.append(docs.select(key.alias("key"), text_or_empty(text_col)).transform(map_arrow, _scan(index, blocks > 1), f"key {kind}, n_words long, {_HITS if blocks > 1 else _COUNTED}"))
     if blocks == 1:
-        hits = scans[0]
-        out = hits.transform(map_arrow, _covered, f"key {kind}, n_words long, n_hit long, items array<string>").withColumnRenamed("key", id_col)
+        out = scans[0].withColumnRenamed("key", id_col)
     else:
         found = [materialize(s.where(F.size("words") > 0).distinct(), "benchmark-hits") for s in scans]
         merged = found[0]
@@ -163,7 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         merged = merged.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("words")).alias("words"), F.flatten(F.collect_list("sizes")).alias("sizes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = merged.transform(map_arrow, _covered, f"key {kind}, n_words long, n_hit long, items array<string>").drop("n_words")
         empty = spark.sparkContext.broadcast({})
-        every = docs.select(key.alias("key"), text_or_empty(text_col)).transform(map_arrow, _scan(empty), f"key {kind}, n_words long, {_HITS}").select("key", "n_words")
+        every = docs.select(key.alias("key"), text_or_empty(text_col)).transform(map_arrow, _scan(empty, False), f"key {kind}, n_words long, {_COUNTED}").select("key", "n_words")
         out = every.join(merged.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")), "left")
         out = out.select(F.col("key")[id_col].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
