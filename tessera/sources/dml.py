@@ -3,6 +3,7 @@ the old ones and swaps the folders, so a reader never meets half a table and a f
 
 from __future__ import annotations
 
+import datetime
 import json
 import threading
 import time
@@ -79,7 +80,7 @@ def insert_plan(spark: SparkSession, spec: TableSpec, rows: Iterable[dict] | Dat
         df = rows.select(*[F.col(f"`{c.name}`") for c in columns])
     else:
         held = T.StructType([T.StructField(c.name, T.StringType() if isinstance(c.data_type, T.VariantType) else c.data_type, True) for c in columns])
-        df = spark.createDataFrame(_rows(spec, rows), held)
+        df = _local(spark, _rows(spec, rows), held)
     made = []
     for c in columns:
         x: Column = F.col(f"`{c.name}`")
@@ -95,6 +96,31 @@ def insert_plan(spark: SparkSession, spec: TableSpec, rows: Iterable[dict] | Dat
     return df.select(*made)
 
 
+#: Rows from Python up to which an insert is one task and one file.
+ONE_FILE = 100_000
+
+
+def _local(spark: SparkSession, rows: list[tuple], kind: T.StructType) -> DataFrame:
+    """Rows by way of Arrow columns, where their types have them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    try:
+        arrow = to_arrow_schema(kind)
+        if any(pa.types.is_nested(f.type) and "timestamp" in str(f.type) for f in arrow):
+            raise TypeError("times inside other types need the session's conversion")
+        columns = [pa.array([_zoned(r[i]) if pa.types.is_timestamp(f.type) and f.type.tz else r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+        df = spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), kind)
+    except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError, TypeError, ValueError, OverflowError):
+        df = spark.createDataFrame(rows, kind)
+    return df.coalesce(1) if len(rows) <= ONE_FILE else df
+
+
+def _zoned(v: Any) -> Any:
+    """A time without a zone is the local clock's, as everywhere in Python."""
+    return v.astimezone() if isinstance(v, datetime.datetime) and v.tzinfo is None else v
+
+
 def _checked(c: ColumnSpec, x: Column) -> Column:
     def must(ok: Column, what: str) -> Column:
         return F.when(ok, x).otherwise(F.raise_error(F.concat(F.lit(f"{c.name}: {what}: "), F.coalesce(x.cast("string"), F.lit("null")))).cast(c.data_type))

@@ -168,3 +168,12 @@ def test_missing_default_differs_from_null_value(spark):
     d = dictionary("d", spark.createDataFrame([(1, None), (2, "b")], "k int, v string"), "k")
     out = d.get_or_default(spark.createDataFrame([(1,), (3,)], "id int"), "id", "v", "none")
     assert {r["id"]: r["v"] for r in out.collect()} == {1: None, 3: "none"}
+
+
+def test_times_of_inserts(spark, tmp_path):
+    at = table("times", {"id": t.int32(), "at": t.datetime(), "many": t.array(t.datetime())}, order_by="id", path=str(tmp_path / "times"))
+    flat = table("flat", {"id": t.int32(), "at": t.datetime()}, order_by="id", path=str(tmp_path / "flat"))
+    now = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    dml.insert(spark, flat).values({"id": 1, "at": now}).execute()
+    dml.insert(spark, at).values({"id": 1, "at": now, "many": [now]}).execute()
+    assert flat.read(spark).first()["at"] == at.read(spark).first()["at"] == at.read(spark).first()["many"][0] == now
