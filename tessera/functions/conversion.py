@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions._args import ColumnLike, col
+from tessera.shipping import ship
 
 _UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -166,6 +167,7 @@ def html_unescape(c: ColumnLike, every_entity: bool = False) -> Column:
     """The five entities in the JVM, or all of HTML's in an Arrow batch UDF."""
     if every_entity:
         import html
+        ship()
 
         @F.pandas_udf("string")
         def plain(values: pd.Series) -> pd.Series:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions._args import ColumnLike, col
+from tessera.shipping import ship
 
 EARTH_KM = 6371.0
 MILES = 0.621371
@@ -157,6 +158,8 @@ def polygon_centroid(polygon: ColumnLike) -> Column:
 
 
 def _ring_udf(f: Callable[[list[tuple[float, float]]], list[tuple[float, float]]]) -> Callable[[Column], Column]:
+    ship()
+
     @F.pandas_udf("array<struct<x:double,y:double>>")
     def mapped(rings: pd.Series) -> pd.Series:
         return rings.map(lambda r: None if r is None else [{"x": x, "y": y} for x, y in f([(p["x"], p["y"]) for p in r])])
@@ -257,6 +260,8 @@ def geohash_around(text: str) -> list[str] | None:
 
 
 def geo_hash_encode(point: ColumnLike, precision: int = 10) -> Column:
+    ship()
+
     @F.pandas_udf("string")
     def encoded(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(a) or pd.isna(b) else geohash_text(a, b, precision) for a, b in zip(x, y, strict=True)], dtype=object)
@@ -266,6 +271,8 @@ def geo_hash_encode(point: ColumnLike, precision: int = 10) -> Column:
 
 def geo_hash_decode(geohash: ColumnLike) -> Column:
     """The centre of the cell."""
+    ship()
+
     @F.pandas_udf("array<double>")
     def decoded(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None or (c := geohash_cell(t)) is None else list(c[:2]))
@@ -275,6 +282,8 @@ def geo_hash_decode(geohash: ColumnLike) -> Column:
 
 
 def geo_hash_neighbors(geohash: ColumnLike) -> Column:
+    ship()
+
     @F.pandas_udf("array<string>")
     def around(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else geohash_around(t))

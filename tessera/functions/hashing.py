@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions._args import ColumnLike, col
+from tessera.shipping import ship
 
 _MASK = (1 << 64) - 1
 
@@ -68,6 +69,8 @@ def sip_hash(data: bytes, k0: int = 0, k1: int = 0) -> int:
 
 def sip_hash64(c: ColumnLike, k0: int = 0, k1: int = 0) -> Column:
     """SipHash-2-4 of the bytes as decimal(20, 0), in an Arrow batch UDF: Spark has no built-in."""
+    ship()
+
     @F.pandas_udf("decimal(20,0)")
     def hashed(values: pd.Series) -> pd.Series:
         from decimal import Decimal

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions._args import ColumnLike, col
+from tessera.shipping import ship
 
 
 def _path(path: str | None) -> str:
@@ -137,12 +138,14 @@ def _edit(how: str, path: str):
 def _edited(how: str, c: ColumnLike, path: str, value: Any = None) -> Column:
     one = _edit(how, path)
     if how == "remove":
+        ship()
 
         @F.pandas_udf("string")
         def removed(texts: pd.Series) -> pd.Series:
             return texts.map(one, na_action=None)
 
         return removed(col(c))
+    ship()
 
     @F.pandas_udf("string")
     def put(texts: pd.Series, values: pd.Series) -> pd.Series:
