@@ -6,21 +6,18 @@ Executors can be lost at any time, so lineage is cut only by tables written to t
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import gc
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera import shipping
+
 #: Rows of a key table (tens of bytes each) up to which it is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -104,18 +101,6 @@ def release() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package's source to the executors, once a context, and bound the batches of texts that go to Python."""
+    """The package for the executors, and a bound on the batches of texts that go to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    # The driver serves the file for as long as it lives.
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="tessera-"))
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = f"{folder}/tessera.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(target)
-    sc._tessera_shipped = True
+    shipping.ship(spark)
