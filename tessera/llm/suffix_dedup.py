@@ -42,6 +42,8 @@ CONTEXT = BEFORE + SPAN
 #: Contexts of an anchor up to which they are gathered; contexts ordered together; cells kept in memory.
 HOT, TOGETHER, IN_MEMORY = 20_000, 16_384, 1 << 23
 _OUTSIDE = 256
+#: Contexts, or stretches, of all texts (20 to 40 bytes each) up to which they are broadcast to the texts.
+ENTRIES = 3_000_000
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -124,18 +126,14 @@ def _cut(batches):
     for batch in batches:
         raw, off = K.column(batch.column(0))
         d1, d2 = batch.column(1), batch.column(2)
-        for i, wanted in enumerate(batch.column(3)):
+        for i in range(batch.num_rows):
             text = raw[off[i] : off[i + 1]]
-            own = wanted.as_py()
-            place = [w["place"] for w in own]
-            lo = [max(0, p - BEFORE) for p in place]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w["anchor"] for w in own], pa.int64()), pa.array([w["context"] for w in own], pa.int64()), pa.array([d1[i].as_py()] * len(own), pa.int64()), pa.array([d2[i].as_py()] * len(own), pa.int64()), pa.array(place, pa.int32()),
-                    pa.array([p - a for p, a in zip(place, lo, strict=True)], pa.int32()), pa.array([text[a : p + SPAN].tobytes() for p, a in zip(place, lo, strict=True)], pa.binary()),
-                ],
-                names=["anchor", "context", "d1", "d2", "place", "before", "bytes"],
-            )
+            anchor, context, place = (batch.column(k)[i].values for k in (3, 4, 5))
+            n, at = len(place), place.to_numpy()
+            before = np.minimum(at, BEFORE)
+            cut = [text[p - b : p + SPAN].tobytes() for p, b in zip(at.tolist(), before.tolist(), strict=True)]
+            same = lambda v: pa.array(np.full(n, v.as_py(), np.int64))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([anchor, context, same(d1[i]), same(d2[i]), place, pa.array(before.astype(np.int32)), pa.array(cut, pa.binary())], names=["anchor", "context", "d1", "d2", "place", "before", "bytes"])
 
 
 class Columns:
@@ -301,11 +299,12 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     whole = whole.select("d1", "d2", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("start"), (F.col("place") + SPAN).alias("stop"))
     mixed = contexts.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1").select("anchor", "different")
     open_ = contexts.select("anchor", "context", "at.*").join(mixed, "anchor")
-    wanted = open_.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted"))
-    wanted = materialize(wanted.withColumnsRenamed({"d1": "w1", "d2": "w2"}), "wanted")
+    wanted = open_.groupBy(F.col("d1").alias("w1"), F.col("d2").alias("w2")).agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted"))
+    wanted = materialize(wanted.select("w1", "w2", *[F.col(f"wanted.{c}").alias(f"{c}s") for c in ("anchor", "context", "place")]), "wanted")
     d1, d2 = digest_columns(F.col(name))
     named = texts.select(name, d1.alias("d1"), d2.alias("d2"))
-    cut = named.join(small(wanted), (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).select(name, "d1", "d2", "wanted")
+    entries = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
+    cut = named.join(small(wanted, entries, ENTRIES), (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).select(name, "d1", "d2", "anchors", "contexts", "places")
     cut = cut.transform(map_arrow, _cut, "anchor long, context long, d1 long, d2 long, place int, before int, bytes binary")
     cut = materialize(cut, "context-bytes")
     many = mixed.where(F.col("different") > hot).select("anchor")
@@ -325,7 +324,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     marks = repeats(rows.select("text")).withColumnsRenamed({"d1": "m1", "d2": "m2"})
     d1, d2 = digest_columns(F.col("text"))
-    joined = rows.withColumns({"d1": d1, "d2": d2}).join(small(marks), (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2")), "left")
+    entries = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    joined = rows.withColumns({"d1": d1, "d2": d2}).join(small(marks, entries, ENTRIES), (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2")), "left")
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.select("id", "text", "marks").transform(map_arrow, _removed, f"id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
