@@ -87,11 +87,11 @@ def search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
         alive = alive[reach >= bound[alive]]
         if not len(alive):
             break
-        local = bound[alive] / np.maximum(qlen[alive] * blen[0], 1e-300)
+        local = bound[alive] / np.maximum(qlen[alive] * blen[0], 1e-9)
         steep = local >= STEEP
         gentle = alive[~steep]
         if len(gentle):  # by length: the vectors that some query still can use
-            need = ((bound[gentle] - 1) / np.maximum(qlen[gentle] * (1 + 1e-9), 1e-300)).min()
+            need = ((bound[gentle] - 1) / np.maximum(qlen[gentle] * (1 + 1e-9), 1e-9)).min()
             n = int(np.searchsorted(-blen, -need, "right")) if need > 0 else len(blen)
             if n:
                 _merge(gentle, qid, _products(q[gentle], bv[:n]), bid[:n], best_ids, best, bound, k)
