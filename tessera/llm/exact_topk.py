@@ -100,7 +100,9 @@ def search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
             t = min(max((bound[i] - 1) / (qlen[i] * blen[0] * (1 + 1e-9)), 0.0), 1.0)
             c = q[i, focus[i]] / qlen[i]
             half = np.sqrt(max(0.0, 1 - t * t) * max(0.0, 1 - c * c)) + 1e-6
-            fits = np.flatnonzero((unit[:, focus[i]] >= c * t - half) & (unit[:, focus[i]] <= 1.0 if c > 0 else unit[:, focus[i]] <= c * t + half))
+            u = unit[:, focus[i]]
+            # Vectors within arccos t of the query; where they pass the axis itself, that end of the range is open.
+            fits = np.flatnonzero(((c < -t) | (u >= c * t - half)) & ((c > t) | (u <= c * t + half)))
             if len(fits):
                 one = np.array([i])
                 _merge(one, qid, _products(q[one], bv[fits]), bid[fits], best_ids, best, bound, k)

@@ -222,6 +222,20 @@ def test_top_k(spark):
     assert [r["vec_id"] for r in exact_topk.top_k(big).orderBy("rank").collect()] == [2, 1]
 
 
+@pytest.mark.parametrize("sign", [-1, 1])
+@pytest.mark.parametrize("width", [4, 16])
+def test_top_k_of_one_dominant_coordinate(sign, width):
+    rnd = np.random.default_rng(width)
+    v = rnd.normal(0, 0.15, (3 * exact_topk.BUCKET, width)) * rnd.uniform(0, 1, (3 * exact_topk.BUCKET, 1))
+    v[:, 0] = sign
+    v, ids = np.floor(1000 * v / np.linalg.norm(v, axis=1)[:, None]), np.arange(len(v))
+    q, qid = v[::100], ids[::100]
+    got_ids, got = exact_topk.search(qid, q, ids, v, 10, np.full(len(q), -float(1 << 62)))
+    for i, scores in enumerate((q @ v.T).astype(np.int64)):
+        want_ids, want = exact_topk._best(np.delete(ids, qid[i]), np.delete(scores, qid[i]), 10)
+        assert got_ids[i].tolist() == want_ids.tolist() and got[i].tolist() == want.tolist()
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     rnd = random.Random(4)
