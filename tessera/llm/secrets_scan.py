@@ -3,8 +3,8 @@
 Three base patterns, and a fourth kind by the guess cost of a password: a value in a credential's context is split by
 dynamic programming into words, dates, repeats, keyboard walks and brute-force spans so that the product of their guesses
 is least; if even that split needs ``GUESSES`` guesses (as a power of ten) the value is a secret. Base spans stay as they
-are; a value that a base span covers is not added again. A value of any length is scored whole, in time proportional to
-its length.
+are; a value that one base span covers wholly is not added again, one that reaches beyond it is. A value of any length is
+scored whole, in time proportional to its length.
 
 Defined results: null or empty text -> no spans; repeated rows -> equal rows; other columns are not read. Spans are in
 code points, the end exclusive.
@@ -111,7 +111,7 @@ def scan_text(text: str) -> list[tuple[int, int, int, int]]:
         base = list(found)
         for m in _CONTEXT.finditer(text):
             s, e = m.span(1)
-            if not any(b[0] < e and s < b[2] for b in base) and _mixed(m[1]) and guess_cost(m[1]) >= GUESSES:
+            if not any(b[0] <= s and e <= b[2] for b in base) and _mixed(m[1]) and guess_cost(m[1]) >= GUESSES:
                 found.append((s, 3, e, s))
     return sorted(found)
 
