@@ -35,6 +35,10 @@ _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth
 WORDS = (
     "password", "qwerty", "dragon", "monkey", "letmein", "master", "sunshine", "princess", "football", "baseball", "shadow", "superman", "trustno", "welcome", "login", "admin", "hello", "freedom", "whatever", "flower", "lovely", "secret", "summer", "winter", "spring", "autumn", "love", "pass", "user", "test", "guest", "root", "change", "changeme", "default", "example", "sample", "demo", "token", "key", "api", "foo", "bar", "baz", "your", "here", "the", "and", "for", "you", "with", "none", "null", "true", "false", "string", "value", "hidden", "redacted", "placeholder", "insert", "enter", "correct", "horse", "battery", "staple", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "monday", "friday", "sunday", "money", "house", "computer", "internet", "service", "server", "public", "private", "access", "system", "database", "mysql", "oracle", "michael", "jordan", "thomas", "daniel", "jessica", "charlie",
 )
+# Endings and common words of prose and settings, so that plain words after a context are cheap.
+WORDS += tuple(
+    "ing tion ation able ment ness ally ized est ful less ously ity ance ence ers ion ive understand important incorrect required authentic authorize authorization administrator administration configure configuration config credential certificate username account accept according actually address advance against agreement algorithm allowed already alternative always another answer anything application appropriate argument article assign associate attempt attribute automatic available before behavior behaviour believe between business button cannot careful cause certain challenge character check client collect command comment commit common communicate company compare complete component compromise condition confirm connect consider constant contain content context continue control convert correctly could country create current customer declare decrypt delete deliver depend describe description destination determine develop device different difficult digital direct directory disable discover display distribute document domain download during dynamic easily effect element email empty enable encode encrypt encryption endpoint engine ensure entirely environment error especially establish evaluate every everyone everything exactly exchange execute exist expect experience expire explain export express extend extension external extreme failure family feature finally follow forever forget forgotten format forward friend function general generate government granted guarantee happen hardware history however identical identifier identify immediately implement import impossible improve include increase independent individual information initial input instance instead institution instruction integrate integrity intend interest interface internal international invalid issue itself javascript keyboard knowledge language later leaked learn length letter library limit listen local location longer machine maintain manage management manager material matter maximum meaning member memory message method minimum missing mobile modern modify module moment morning mountain multiple national natural necessary network neither never normal nothing notice notification number object obtain obvious office official online operate operation optional order organize organization original other output overview package parameter partner people perform permanent permission personal persist phone physical platform please policy popular position possible practice prepare present prevent previous print priority probably problem process produce product production professional profile program project properly property protect protocol provide purpose quality question random rather reason receive recent recognize recommend record recover reference refresh register regular relation release remain remember remote remove repeat replace report repository represent request require research reserve reset resource response responsible restore restrict result retrieve return revoke safety school science script search section secure security select send sensitive sentence separate sequence session setting several shared should signature similar simple single social software someone something source special specific standard start state statement station storage store strength strong structure student subject submit subscribe success suggest support surface switch symbol sync technical technology temporary terminal therefore thing think thought through together tomorrow traffic transaction transfer transform transport travel truth trust typical unable under unique universal university unknown unless update upload useful usually valid validate variable various verify verification version visible visit warning website weight while whole window without wonder world write written wrong yesterday yourself".split()
+)
 # Rows of keys and the two alphabets that walks follow.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 
@@ -92,10 +96,6 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def _mixed(value: str) -> bool:
-    return sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))) >= 2
-
-
 def scan_text(text: str) -> list[tuple[int, int, int, int]]:
     """(start, number of the kind, end, start of the secret value) in order."""
     low = text.lower()
@@ -111,7 +111,7 @@ def scan_text(text: str) -> list[tuple[int, int, int, int]]:
         base = list(found)
         for m in _CONTEXT.finditer(text):
             s, e = m.span(1)
-            if not any(b[0] <= s and e <= b[2] for b in base) and _mixed(m[1]) and guess_cost(m[1]) >= GUESSES:
+            if not any(b[0] <= s and e <= b[2] for b in base) and guess_cost(m[1]) >= GUESSES:
                 found.append((s, 3, e, s))
     return sorted(found)
 

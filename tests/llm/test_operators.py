@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -216,6 +217,18 @@ def test_values_beyond_base_spans():
         assert secrets_scan.redact(f"a pwd: {value}, password: {value} b", "*") == "a pwd: *, password: * b"
 
 
+@pytest.mark.parametrize("text", ["pwd=qzvxkjwpmbtrlhgnfdsc", "access_key: 83920174655610293847", "passphrase: KQZVXWJMPHTR", "the passcode is ~#&*^%$?!+"])
+def test_values_of_one_class(text):
+    value = re.split(r"[=\x20]", text)[-1]
+    assert [(s, k, e) for s, k, e, _ in secrets_scan.scan_text(text)] == [(text.index(value), 3, len(text))]
+    assert secrets_scan.redact(text, "*") == text.replace(value, "*")
+
+
+def test_prose_in_contexts_is_no_secret():
+    for text in ("the secret is understanding", "token: authentication", "pwd: administrator", "Passphrase is required.", "credentials: username/password", "the password is incorrect", "secret=configuration"):
+        assert [k for _, k, _, _ in secrets_scan.scan_text(text) if k == 3] == [], text
+
+
 def test_top_k(spark):
     rnd = random.Random(2)
     vectors = [(i, [rnd.gauss(0, 1) * rnd.choice([0.1, 1, 5]) for _ in range(8)]) for i in range(1, 700)]
