@@ -1,6 +1,7 @@
 """Operator 9, secret scans.
 
-Three base patterns, and a fourth kind by the guess cost of a password: a value in a credential's context is split by
+Three base patterns, and a fourth kind by the guess cost of a password: a value in a credential's context (after a name
+and a separator, where Bearer, Basic or Token may come between, or after bearer and white space) is split by
 dynamic programming into words, dates, repeats, keyboard walks and brute-force spans so that the product of their guesses
 is least; if even that split needs ``GUESSES`` guesses (as a power of ten) the value is a secret. Base spans stay as they
 are; a value that one base span covers wholly is not added again, one that reaches beyond it is. A value of any length is
@@ -28,7 +29,11 @@ GUESSES = 10.0
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth)[_-]?key|credentials?|bearer|authorization)[\"']?[\x20\t]*(?:[:=]>?|\x20is\x20)[\x20\t]*[\"']?([^\s\"',;<>|()\[\]{}]{6,})", re.I | re.A)
+_NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth)[_-]?key|credentials?|bearer|authorization)[\"']?"
+# After a scheme a name with its own separator begins a context, not a value; before, a name alone does not hide its value.
+_SCHEME = rf"[\x20\t]+[\"']?(?!{_NAMES}[\x20\t]*(?:[:=]|\x20is\x20))"
+_ALONE = rf"(?!{_NAMES}(?:[:=]>?[\x20\t]|[\x20\t]+[:=]|[\x20\t]*\x20is\x20))"
+_CONTEXT = re.compile(rf"(?:{_NAMES}[\x20\t]*(?:[:=]>?|\x20is\x20)[\x20\t]*[\"']?(?:(?:bearer|basic|token){_SCHEME})?|bearer{_SCHEME}){_ALONE}([^\s\"',;<>|()\[\]{{}}]{{6,}})", re.I | re.A)
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 
 # Common parts of passwords, most common first.

@@ -224,8 +224,14 @@ def test_values_of_one_class(text):
     assert secrets_scan.redact(text, "*") == text.replace(value, "*")
 
 
+@pytest.mark.parametrize("before", ["Authorization: Bearer ", "authorization = 'bearer ", "Authorization: Basic ", "token: Token ", "curl -H Bearer\t", '"Authorization": "Bearer ', "Bearer token: ", "Authorization: Bearer token = ", "authorization: token: ", "password: secret is "])
+def test_values_after_schemes(before):
+    value = "eyJhbGciOi.J9x_Q-7zKd2"
+    assert secrets_scan.redact(f"a {before}{value} b", "*") == f"a {before}* b"
+
+
 def test_prose_in_contexts_is_no_secret():
-    for text in ("the secret is understanding", "token: authentication", "pwd: administrator", "Passphrase is required.", "credentials: username/password", "the password is incorrect", "secret=configuration"):
+    for text in ("the secret is understanding", "token: authentication", "pwd: administrator", "Passphrase is required.", "credentials: username/password", "the password is incorrect", "secret=configuration", "bearer certificates", "token: basic understanding"):
         assert [k for _, k, _, _ in secrets_scan.scan_text(text) if k == 3] == [], text
 
 
