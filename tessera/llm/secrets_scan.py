@@ -58,46 +58,72 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33)
 
 
+class _Starts:
+    """Where a repeat or walk that ends here may have begun. Of a start's cost, best[i] + log10(j - i), the second term grows
+    ever more slowly, so a start that a smaller one undercuts, or a later one without a greater cost, never is the cheapest
+    again: few remain, whatever the length."""
+
+    def __init__(self):
+        self.at: list[tuple[int, float]] = []
+
+    def cheapest(self, j: int) -> float:
+        """The least best[i] + log10(j - i)."""
+        low, kept = math.inf, []
+        for i, b in self.at:
+            if (cost := b + math.log10(j - i)) < low:
+                low = cost
+                while kept and kept[-1][1] >= b:
+                    kept.pop()
+                kept.append((i, b))
+        self.at = kept
+        return low
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
+    """log10 of the guesses of the cheapest segmentation. Every word, date, walk of three keys or more and repeat of a unit of
+    up to ``_REPEAT`` characters is a segment, wherever it begins and ends."""
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
     bulk = [0.0]
     for c in value:
         bulk.append(bulk[-1] + _brute(c))
-    edges: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for i in range(n):
-        for size in range(3, min(_LONGEST, n - i) + 1):
-            if (word := low[i : i + size]) in _RANK:
-                edges[i].append((i + size, _RANK[word] + (0.0 if value[i : i + size] == word else math.log10(2 + size))))
-    for m in _DATE.finditer(value):
-        edges[m.start()].append((m.end(), math.log10(120) if m.end() - m.start() == 4 else math.log10(365 * 120 * 4)))
-    for step in (1, -1):
-        i = 0
-        while i < n - 2:
-            j = i
-            while j + 1 < n and ((low[j], low[j + 1]) if step > 0 else (low[j + 1], low[j])) in _NEXT:
-                j += 1
-            if j - i >= 2:
-                edges[i].append((j + 1, math.log10(len(WALKS) * 26 * 2 * (j - i + 1))))
-            i = max(j, i + 1)
-    for unit in range(1, min(_REPEAT, n // 2) + 1):
-        i = 0
-        while i + 2 * unit <= n:
-            j = i
-            while j + unit < n and value[j] == value[j + unit]:
-                j += 1
-            times = (j - i) // unit + 1
-            if times >= 2 and unit * times >= 3:
-                edges[i].append((i + unit * times, bulk[i + unit] - bulk[i] + math.log10(times)))
-            i = j + 1
+    two, walk = math.log10(2), math.log10(len(WALKS) * 26 * 2)
     best = [0.0] + [math.inf] * n
-    for i in range(n):
-        step = best[i] + bulk[i + 1] - bulk[i]
-        best[i + 1] = min(best[i + 1], step)
-        for j, cost in edges[i]:
-            best[j] = min(best[j], best[i] + cost + math.log10(2))
+    walks = {1: (_Starts(), 0), -1: (_Starts(), 0)}
+    units = range(1, min(_REPEAT, n // 2) + 1)
+    runs = dict.fromkeys(units, 0)
+    repeats = {unit: [_Starts() for _ in range(unit)] for unit in units}
+    for j in range(n + 1):
+        if j:
+            best[j] = min(best[j], best[j - 1] + bulk[j] - bulk[j - 1])
+        for step, (starts, first) in walks.items() if j > 1 else ():
+            if ((low[j - 2], low[j - 1]) if step > 0 else (low[j - 1], low[j - 2])) not in _NEXT:
+                walks[step] = (_Starts(), j - 1)
+            elif j - 3 >= first:
+                starts.at.append((j - 3, best[j - 3]))
+                best[j] = min(best[j], starts.cheapest(j) + walk + two)
+        for unit in units:
+            if j <= unit:
+                break
+            if value[j - 1] != value[j - 1 - unit]:
+                if runs[unit]:
+                    runs[unit], repeats[unit] = 0, [_Starts() for _ in range(unit)]
+                continue
+            runs[unit] += 1
+            i = j - max(2 * unit, 3)
+            if i >= 0 and runs[unit] >= j - i - unit:
+                starts = repeats[unit][j % unit]
+                starts.at.append((i, best[i]))
+                best[j] = min(best[j], starts.cheapest(j) - math.log10(unit) + bulk[j] - bulk[j - unit] + two)
+        for size in range(3, min(_LONGEST, n - j) + 1):
+            if (word := low[j : j + size]) in _RANK:
+                cost = _RANK[word] + (0.0 if value[j : j + size] == word else math.log10(2 + size))
+                best[j + size] = min(best[j + size], best[j] + cost + two)
+        for size in (4, 6, 7, 8, 9, 10) if j < n and value[j] in "0123456789" else ():
+            if j + size <= n and _DATE.fullmatch(value, j, j + size):
+                cost = math.log10(120) if size == 4 else math.log10(365 * 120 * 4)
+                best[j + size] = min(best[j + size], best[j] + cost + two)
     return best[n]
 
 

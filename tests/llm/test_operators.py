@@ -210,6 +210,40 @@ def test_redaction(spark):
     assert all(sum(r[1:4]) == 0 for r in brute.secrets(list(out.items())))
 
 
+def all_segments(value):
+    """guess_cost by every segment there is."""
+    S, low, log = secrets_scan, value.lower(), secrets_scan.math.log10
+    best = [0.0] + [float("inf")] * len(value)
+    for j in range(1, len(value) + 1):
+        for i in range(j):
+            part, small, n = value[i:j], low[i:j], j - i
+            costs = [S._brute(part) if n == 1 else float("inf")]
+            if small in S._RANK:
+                costs.append(S._RANK[small] + (0 if part == small else log(2 + n)) + log(2))
+            if S._DATE.fullmatch(part):
+                costs.append((log(120) if n == 4 else log(365 * 120 * 4)) + log(2))
+            pairs = list(zip(small, small[1:]))
+            if n >= 3 and (all(p in S._NEXT for p in pairs) or all(p[::-1] in S._NEXT for p in pairs)):
+                costs.append(log(len(S.WALKS) * 26 * 2 * n) + log(2))
+            for unit in range(1, min(16, n // 2) + 1):
+                if n >= 3 and n % unit == 0 and part == part[:unit] * (n // unit):
+                    costs.append(sum(map(S._brute, part[:unit])) + log(n // unit) + log(2))
+            best[j] = min(best[j], best[i] + min(costs))
+    return best[-1]
+
+
+@given(st.lists(st.sampled_from(["abcdef", "foo", "bar", "qwerty", "o", "1", "!", "2012", "12", "0", "aa", "Xy", "XyXy", "fedcba", "890", "1999-1-1", "password", "pass", "zzzz", "é"]), max_size=9).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_guess_cost_is_the_minimum(value):
+    assert abs(secrets_scan.guess_cost(value) - all_segments(value)) < 1e-9
+
+
+def test_guess_cost_of_parts():
+    assert secrets_scan.guess_cost("abcdefoobar1!") < 10 and secrets_scan.scan_text("pwd: abcdefoobar1!") == []
+    for long in ("1234567890" * 5_000, "a" * 50_000, "abc" * 20_000, "qwertyuiop" * 5_000):
+        assert secrets_scan.guess_cost(long) < 25
+
+
 def test_values_beyond_base_spans():
     kinds = lambda t: [secrets_scan.KINDS[k] for _, k, _, _ in secrets_scan.scan_text(t)]
     assert kinds("password: Tr0ub4dor&3xYz!Q9") == ["assign", "guess"] and kinds("password: Tr0ub4dor3xYzQ9") == ["assign"]
