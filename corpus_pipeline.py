@@ -12,6 +12,9 @@ from tessera.llm import decontaminate, language_id, mixing, near_dedup, secrets_
 from tessera.llm import toxicity as weak
 from tessera.llm.common import materialize, read_table
 
+#: Hundredths of similarity that link near duplicates here; operator 3's own contract links at 85.
+SIMILAR = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. Labels are learnt only from documents outside the held-out fold."""
@@ -21,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, similar=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document's set holds the hashes of its distinct five-word shingles. Two collections of ``SIDE`` short keys, each made of
 ``WIDTH`` minhashes, are combined pairwise into SIDE * SIDE table keys: 100 tables of four minhashes from 40 minhashes
-instead of 400. A pair at similarity 0.85 misses all tables with probability 2 (1 - 0.85^2)^10, about 5e-6.
+instead of 400. A pair at similarity 0.85 misses all tables with probability 2 (1 - 0.85^2)^10, about 5e-6; at 0.8, 7e-5.
 
 Equal sets are one node from the start. In each table bucket every node is paired with the bucket's first node and with
 its most central one (that of the largest buckets), so pairs grow with the rows, not with the square of a bucket. Pairs are
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernel as K
 from tessera.llm.common import map_arrow, materialize, small, text_key, text_or_empty
 
-#: Words of a shingle; similarity in hundredths; keys of each collection; minhashes of a key.
+#: Words of a shingle; similarity in hundredths unless the caller names another; keys of each collection; minhashes of a key.
 SHINGLE, SIMILAR, SIDE, WIDTH = 5, 85, 10, 2
 #: Pairs of different components up to which a bucket emits them.
 FEW = 16
@@ -89,19 +89,19 @@ def _set_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(s, edge)], names=["cls", "shingles"])
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
+def _ordered(pairs: DataFrame, similar: int) -> DataFrame:
     """Distinct pairs a < b whose sizes allow the similarity."""
     p = pairs.where(F.col("x.node") != F.col("y.node")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    p = p.where(100 * F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n"))
+    p = p.where(100 * F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n"))
     return p.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.where(100 * common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,14 +124,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("c").alias("node"), F.col("p").alias("root")).unionByName(e.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct())
 
 
-def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _rare(nodes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Pairs of the given nodes (node, root) of different roots that share one of the rarest shingles of their sets: of n
-    shingles, in order of frequency, the first n - ceil(0.85 n) + 1. Shingles of one node only never make a pair."""
+    shingles, in order of frequency, the first n - ceil(similar n / 100) + 1. Shingles of one node only never make a pair."""
     x = nodes.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     shared = x.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     y = x.join(shared, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("by"))
     alone = F.col("n") - F.size("by")  # shingles of this node only come first in the order
-    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - alone
+    prefix = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1 - alone
     y = y.where(prefix > 0).select("node", "root", "n", alone.alias("alone"), F.transform(F.slice("by", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["s"]).alias("p"))
     kept = y.select(F.struct("node", "n").alias("x"), "root", "alone", F.slice("p", 1, HEAD).alias("head"), F.posexplode("p").alias("place", "s"))
     kept = kept.select("x", "root", "head", "s", (F.col("x.n") - F.col("alone") - F.col("place")).alias("left"))
@@ -139,19 +139,19 @@ def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     # A pair comes once for each shared shingle of the prefixes; where the heads share any, the first one alone counts.
     once = F.coalesce(F.try_element_at(F.array_intersect("head", "head2"), F.lit(1)), F.col("s")) == F.col("s")
     # If this is the first shared shingle, no more are shared than follow it in either set.
-    enough = F.least("left", "left2") * (100 + SIMILAR) >= SIMILAR * (F.col("x.n") + F.col("y.n"))
+    enough = F.least("left", "left2") * (100 + similar) >= similar * (F.col("x.n") + F.col("y.n"))
     return kept.join(other, "s").where("root != root2 and x.node < y.node").where(enough & once).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for every row of ``docs``."""
-    out = _marked(docs, id_col, text_col)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """id, n_shingles, component_id, kept for every row of ``docs``; links have a similarity of ``similar`` hundredths or more."""
+    out = _marked(docs, id_col, text_col, similar)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
     """``docs`` with one row of each component: that of its least id, and one of several equal rows."""
-    marked = _marked(docs, id_col, text_col).select("id", "text_key", "kept")
+    marked = _marked(docs, id_col, text_col, similar).select("id", "text_key", "kept")
     stays = materialize(marked.where("kept").groupBy("id", "text_key").agg(F.count("*").alias("n")), "stays")
     gone = materialize(marked.where("not kept").select("id", "text_key").distinct(), "gone")
     again = materialize(stays.where("n > 1").select("id", "text_key"), "again")
@@ -166,7 +166,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rest.join(small(again), same(again), "left_anti").select("row.*").unionByName(copies.select("row.*"))
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), text_key(text_col).alias("text_key"))
     sig = materialize(rows.transform(map_arrow, _signatures, "id long, text_key binary, n_shingles long, cls binary, left array<long>, right array<long>"), "signatures")
     nodes = sig.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
@@ -180,13 +180,13 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     weight = buckets.groupBy("x").agg(F.sum("held").alias("company"))
     central = buckets.join(weight, "x").groupBy("key").agg(F.max(F.struct("company", "x")).alias("c")).select("key", F.col("c.x").alias("central"))
     stars = buckets.join(central, "key").select("x", F.explode(F.array("first", "central")).alias("y"))
-    pairs = materialize(_ordered(stars), "pairs")
+    pairs = materialize(_ordered(stars, similar), "pairs")
     met = materialize(weight.select(F.col("x.node").alias("node")).join(nodes.select("node", "cls", "id"), "node"), "met")
     mark = small(met.select(F.col("id").alias("_id")))
     texts = rows.join(mark, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = texts.transform(map_arrow, _set_rows, "cls binary, shingles array<long>").join(met.select("cls", "node"), "cls").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
-    links = materialize(_confirmed(pairs, sets), "confirmed")
+    links = materialize(_confirmed(pairs, sets, similar), "confirmed")
     roots = materialize(components(links), "roots")
     # What is left: pairs of different components in one bucket.
     placed = buckets.select("key", "x").join(roots.withColumnRenamed("node", "_n"), F.col("x.node") == F.col("_n"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root"))
@@ -196,8 +196,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     few = placed.join(cells.where(F.col("open") <= FEW), "key").select("key", "x", "root")
     direct = few.join(few.select("key", F.col("x").alias("y"), F.col("root").alias("root2")), "key").where("root != root2 and x.node < y.node").select("x", "y")
     many = placed.join(cells.where(F.col("open") > FEW), "key").select(F.col("x.node").alias("node"), "root").distinct()
-    rest = _ordered(direct.unionByName(_rare(many, sets))).join(pairs, ["a", "b"], "left_anti")
-    late = _confirmed(materialize(rest, "late-pairs"), sets)
+    rest = _ordered(direct.unionByName(_rare(many, sets, similar)), similar).join(pairs, ["a", "b"], "left_anti")
+    late = _confirmed(materialize(rest, "late-pairs"), sets, similar)
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     late = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     final = materialize(components(late), "final-roots").select(F.col("node").alias("root"), F.col("root").alias("last"))

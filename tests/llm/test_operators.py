@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import chat_format, decontaminate, exact_topk, kernel, language_id, mixing, near_dedup, queries, secrets_scan, suffix_dedup, token_counts, toxicity
 from tests.llm import brute
 
@@ -66,6 +67,15 @@ def test_keep_one_keeps_one_of_each_component(spark, awkward):
     assert (None, "alone but nameless") in left and (4, None) in left and near_dedup.keep_one(frame(spark, awkward)).columns == frame(spark, awkward).columns
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    base = [f"v{i}" for i in range(104)]  # 100 shingles, of which a changed word takes five
+    near, far = (base[:50] + ["x"] + base[51:70] + ["y"] + base[71:], [f"z{i}" if i % 16 == 9 else w for i, w in enumerate(base)])
+    df = frame(spark, [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))])
+    assert 0.80 <= 90 / 110 < 0.85 and 70 / 130 < 0.80
+    ids = lambda out: sorted(r["doc_id"] for r in out.select("doc_id").collect())
+    assert ids(near_dedup.keep_one(df)) == [1, 2, 3] and ids(corpus_pipeline.near_dedup_stage(spark, df, "")) == [1, 3]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
