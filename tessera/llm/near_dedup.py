@@ -37,6 +37,9 @@ HEAD = 16
 _MULT = K.splitmix(2 * SIDE * WIDTH, 71) | K.U64(1)
 _XOR = K.splitmix(2 * SIDE * WIDTH, 72)
 
+#: A row's place in its component.
+_RANK = "struct(id is null as nameless, id, text_key)"
+
 
 def _sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all rows in order, and the offsets of the rows."""
@@ -150,11 +153,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
-    """``docs`` with one row of each component: that of its least id, and one of several equal rows."""
-    marked = _marked(docs, id_col, text_col, similar).select("id", "text_key", "kept")
-    stays = materialize(marked.where("kept").groupBy("id", "text_key").agg(F.count("*").alias("n")), "stays")
-    gone = materialize(marked.where("not kept").select("id", "text_key").distinct(), "gone")
-    again = materialize(stays.where("n > 1").select("id", "text_key"), "again")
+    """``docs`` with one row of each component: of its least id, a null id being the greatest, the row of the least text hash,
+    and one of several equal rows. Texts without words and with a null id have no component: one of each text stays."""
+    marked = _marked(docs, id_col, text_col, similar)
+    keys = marked.groupBy("id", "text_key").agg(F.count("*").alias("n"), F.first("chosen").alias("chosen"), F.first("n_shingles").alias("n_shingles"))
+    keys = materialize(keys, "keys")
+    blank = keys.where("n_shingles = 0 and id is not null").select("id", "text_key")  # their component is the id
+    spare = blank.join(blank.groupBy("id").agg(F.min("text_key").alias("least")), "id").where("text_key != least")
+    gone = materialize(keys.where("not chosen").select("id", "text_key").unionByName(spare.select("id", "text_key")), "gone")
+    again = materialize(keys.where("chosen and n > 1").select("id", "text_key"), "again")
     names = docs.columns
     here = F.struct(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), here.alias("at"))
@@ -167,9 +174,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFrame:
+    """id, text_key, n_shingles, component_id, kept, and chosen: whether a row has the least id and text hash of its component."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), text_key(text_col).alias("text_key"))
     sig = materialize(rows.transform(map_arrow, _signatures, "id long, text_key binary, n_shingles long, cls binary, left array<long>, right array<long>"), "signatures")
-    nodes = sig.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    nodes = sig.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min(F.expr(_RANK)).alias("rank"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = F.flatten(F.transform("left", lambda x, i: F.transform(F.col("right"), lambda y, j: F.xxhash64(i, x, j, y))))
     tables = nodes.select("node", "n", F.explode(keys).alias("key"))
@@ -203,11 +211,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFr
     final = materialize(components(late), "final-roots").select(F.col("node").alias("root"), F.col("root").alias("last"))
     grouped = roots.join(final, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     lone = final.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), F.col("last").alias("root"))
-    grouped = grouped.unionByName(lone).join(nodes.select("node", "cls", "id"), "node")
-    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = grouped.join(least, "root").select("cls", F.col("component_id").alias("_linked"))
-    named = materialize(nodes.select("cls", "id").join(linked, "cls", "left").select("cls", F.when(F.col("_linked").isNull(), F.col("id")).otherwise(F.col("_linked")).alias("_component")), "components")
+    grouped = grouped.unionByName(lone).join(nodes.select("node", "cls", "rank"), "node")
+    least = grouped.groupBy("root").agg(F.min("rank").alias("_linked"))
+    linked = grouped.join(least, "root").select("cls", "_linked")
+    named = materialize(nodes.select("cls", "rank").join(linked, "cls", "left").select("cls", F.coalesce("_linked", "rank").alias("_first")), "components")
     out = sig.select("id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("_component"))
-    out = out.select("id", "text_key", "n_shingles", component.alias("component_id"))
+    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("_first.id"))
+    chosen = F.col("cls").isNull() | (F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("text_key") == F.col("_first.text_key")))
+    out = out.select("id", "text_key", "n_shingles", component.alias("component_id"), chosen.alias("chosen"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -67,6 +67,17 @@ def test_keep_one_keeps_one_of_each_component(spark, awkward):
     assert (None, "alone but nameless") in left and (4, None) in left and near_dedup.keep_one(frame(spark, awkward)).columns == frame(spark, awkward).columns
 
 
+def test_keep_one_whatever_the_ids(spark):
+    rnd = random.Random(8)
+    copies = lambda w: [" ".join([*w[:i], "x", *w[i + 1 :]]) for i in (0, 1, 2)]
+    a, b, c = (copies([f"{x}{i}" for i in range(100)]) for x in "abc")
+    docs = [(7, a[0]), (7, a[1]), (9, a[2]), (7, a[1]), (None, b[0]), (None, b[1]), (None, b[2]), (None, b[2]), (None, c[0]), (3, c[1]), (3, c[2]), (7, "lone"), (5, None), (5, " "), (5, ""), (None, " "), (None, "")]
+    rnd.shuffle(docs)
+    left = [tuple(r) for r in near_dedup.keep_one(frame(spark, docs)).select("doc_id", "text").collect()]
+    kept = [[d for d, t in left if t in x] for x in (a, b, c, ["lone"], [None, "", " "])]
+    assert [sorted(k, key=str) for k in kept] == [[7], [None], [3], [7], [5, None, None]]
+
+
 def test_pipeline_links_from_four_fifths(spark):
     base = [f"v{i}" for i in range(104)]  # 100 shingles, of which a changed word takes five
     near, far = (base[:50] + ["x"] + base[51:70] + ["y"] + base[71:], [f"z{i}" if i % 16 == 9 else w for i, w in enumerate(base)])
