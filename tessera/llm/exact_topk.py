@@ -12,7 +12,8 @@ at most k rows a query, merged by query. First thresholds come from the ``PROBE`
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; a
 shorter vector counts as if filled up with zeros; rows with the query's own id are not its candidates, and other repeated
-rows all count, ties going to the smaller id; with fewer than k candidates all are returned; an empty table gives no rows.
+rows all count, ties going to the smaller id; every row of a query's id is searched, equal ones once and counted as often as
+they come, and the k best of all its pairs are ranked together; with fewer than k candidates all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -124,10 +125,11 @@ def _merge(which, qid, scores, bid, best_ids, best, bound, k) -> None:
 
 def _scan(shared, k: int):
     def run(batches):
-        qid, q, floor = shared.value
+        qid, q, floor, times = shared.value
         for batch in batches:
             ids, v = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1))
             best_ids, best = search(qid, q, ids, v, k, floor)
+            best_ids, best = ([np.repeat(x, t) for x, t in zip(found, times, strict=True)] for found in (best_ids, best))
             sizes = np.array([len(b) for b in best])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, sizes)), pa.array(np.concatenate([*best_ids, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*best, np.zeros(0, np.int64)]).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
@@ -142,14 +144,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     probe = rows.orderBy(norm.desc(), "vec_id").limit(PROBE).toArrow()
     probe_ids, probe_v = probe["vec_id"].to_numpy(), _matrix(probe["v"].combine_chunks() if probe.num_rows else pa.array([], pa.list_(pa.float64())))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    # Blocks of queries by range of the id, each within ``block`` rows but for repeated ids.
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    cuts = [None, *(queries.approxQuantile("vec_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []), None]
+    queries = materialize(queries.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("times")), "queries")
+    # Blocks of queries by a hash, each of about ``block`` rows.
+    parts = max(1, -(-queries.count() // block))
     merged = None
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        own = queries if lo is None else queries.where(F.col("vec_id") > lo)
-        own = (own if hi is None else own.where(F.col("vec_id") <= hi)).dropDuplicates(["vec_id"]).toArrow()
+    for part in range(parts):
+        own = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)) == part).toArrow()
         if not own.num_rows:
             continue
         qid, q = own["vec_id"].to_numpy().astype(np.int64), _matrix(own["v"].combine_chunks())
@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         for i in range(0, len(qid), 256):
             _, best = search(qid[i : i + 256], q[i : i + 256], probe_ids, probe_v, k, lowest[i : i + 256])
             floor[i : i + 256] = [float(b[-1]) if len(b) == k else -float(1 << 62) for b in best]
-        shared = spark.sparkContext.broadcast((qid, q, floor))
+        shared = spark.sparkContext.broadcast((qid, q, floor, own["times"].to_numpy()))
         found = rows.transform(map_arrow, _scan(shared, k), "query_id long, vec_id long, score long")
         merged = found if merged is None else merged.unionByName(found)
     if merged is None:

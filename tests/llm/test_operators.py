@@ -303,6 +303,19 @@ def test_top_k(spark):
     assert [r["vec_id"] for r in exact_topk.top_k(big).orderBy("rank").collect()] == [2, 1]
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rnd = random.Random(6)
+    rows_ = [(i, [float(rnd.randrange(-9, 9)) for _ in range(4)]) for i in range(1, 60)]
+    rows_ += [(100, [1.0, 2.0, 3.0, 4.0]), (100, [-4.0, 3.0, -2.0, 1.0]), (100, [-4.0, 3.0, -2.0, 1.0]), (200, [0.0, -5.0, 1.0, 0.0])]
+    want = collections.Counter()
+    for q in (100, 200):
+        pairs = sorted((-(1024**2) * int(sum(x * y for x, y in zip(a, b))), i) for n, a in rows_ if n == q for i, b in rows_ if i != q)
+        want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(pairs[:10]))
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    for block in (4096, 1):
+        assert rows(exact_topk.top_k(df, block=block)) == want
+
+
 @pytest.mark.parametrize("sign", [-1, 1])
 @pytest.mark.parametrize("width", [4, 16])
 def test_top_k_of_one_dominant_coordinate(sign, width):
