@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions._args import ColumnLike, col
@@ -107,8 +107,8 @@ def var_pop(c: ColumnLike) -> Column:
     return F.var_pop(col(c))
 
 
-def median(c: ColumnLike) -> Column:
-    return F.median(col(c))
+def median(c: ColumnLike, approx: bool = False) -> Column:
+    return F.percentile_approx(col(c), 0.5) if approx else F.median(col(c))
 
 
 def quantile(c: ColumnLike, level: float, approx: bool = False) -> Column:
@@ -155,6 +155,21 @@ def rate(c: ColumnLike, time: ColumnLike, by: list[ColumnLike] | None = None) ->
     return F.try_divide(increase(c, time, by), seconds - F.lag(seconds).over(w))
 
 
+def increase_by(df: DataFrame, c: str, time: str, bucket: Column, by: list[str] | None = None, to: str = "increase") -> DataFrame:
+    """Growth of each series' counter summed by ``bucket``, a column made of the time such as its hour; a row's growth falls
+    into the bucket of the row. A bucket with a series' first row only has none: null."""
+    grown = df.withColumn("_grown", increase(c, time, by)).withColumn("bucket", bucket)
+    return grown.groupBy(*(by or []), "bucket").agg(F.sum("_grown").alias(to))
+
+
+def rate_by(df: DataFrame, c: str, time: str, bucket: Column, by: list[str] | None = None, to: str = "rate") -> DataFrame:
+    """Growth per second of each series' counter by ``bucket``: what it grew over the time since the row before it grew in."""
+    w = _series(time, by)
+    seconds = F.unix_micros(col(time).cast("timestamp")) / 1e6
+    grown = df.withColumn("_grown", increase(c, time, by)).withColumn("_took", seconds - F.lag(seconds).over(w)).withColumn("bucket", bucket)
+    return grown.groupBy(*(by or []), "bucket").agg(F.try_divide(F.sum("_grown"), F.sum("_took")).alias(to))
+
+
 def top_k(c: ColumnLike, n: int) -> Column:
     """The n most frequent values with their counts, by a sketch; ``operators.frequent.top_k`` is the exact one."""
     return F.call_function("approx_top_k", col(c), F.lit(n))

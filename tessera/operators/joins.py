@@ -6,9 +6,14 @@ as-of join's window is by key, so ``bucket`` splits a hot key by time.
 
 from __future__ import annotations
 
+import math
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How much wider the cells of an interval join's next level are; the last level, for intervals without an end.
+_FACTOR, _LEVELS = 8, 341
 #: Bytes that the optimiser may estimate of a side that is broadcast on request.
 BROADCAST_BYTES = 64 << 20
 
@@ -97,11 +102,43 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
 
 
 def interval_join(left: DataFrame, right: DataFrame, point: str, start: str, end: str, width: float, on: list[str] | None = None, how: str = "inner") -> DataFrame:
-    """Left rows whose number ``point`` is between ``start`` and ``end`` of a right row, both included. The line is cut into
-    cells of ``width``; right rows are copied to the cells they touch, so the join is on equal cells instead of all pairs."""
-    cell = lambda c: F.floor(F.col(c).cast("double") / width)
-    cells = right.where(F.col(start) <= F.col(end)).withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
-    return left.withColumn("_cell", cell(point)).join(cells, [*(on or []), "_cell"], how).where(F.col(point).between(F.col(start), F.col(end)) if how == "inner" else F.lit(True)).drop("_cell")
+    """Left rows whose number ``point`` is between ``start`` and ``end`` of a right row, both included; with ``how="left"``
+    also those without such a row, their right columns null.
+
+    The line is cut into cells, so the join is on equal cells instead of all pairs. Cells of a level are ``_FACTOR`` times as
+    wide as those of the level below, the lowest ``width`` wide; an interval lies in the lowest level whose cells are as wide
+    as itself, so it touches two cells at most however wide it is. The levels that occur are found by a scan of the right
+    side's bounds; each is one join."""
+    if how not in ("inner", "left"):
+        raise ValueError("an interval join is inner or left")
+    keys = list(on or [])
+    clash = (set(left.columns) & set(right.columns)) - set(keys)
+    if clash:
+        raise ValueError(f"columns on both sides: {', '.join(sorted(clash))}")
+    number = lambda c: F.greatest(F.least(F.col(f"`{c}`").cast("double"), F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+    low, high = number(start), number(end)
+    level = F.least(F.ceil(F.log(F.greatest(high - low, F.lit(width)) / width) / math.log(_FACTOR)), F.lit(_LEVELS)).cast("int")
+    sides = right.where(F.col(f"`{start}`") <= F.col(f"`{end}`")).withColumn("_level", level)
+    levels = sorted(r["_level"] for r in sides.select("_level").distinct().collect()) or [0]
+    rest, found = left, None
+    for k in levels:
+        size = width * float(_FACTOR) ** k
+        cell = lambda c: F.floor(c / F.lit(size))  # noqa: E731, B023
+        cells = sides.where(F.col("_level") == k).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+        cells = cells.drop("_level").withColumnsRenamed({c: f"_on_{c}" for c in keys})
+        at = F.when(F.col(f"`{point}`").isNotNull(), cell(number(point)))
+        asked = rest.withColumn("_at", at)
+        same = (F.col("_at") == F.col("_cell")) & F.col(f"`{point}`").between(F.col(f"`{start}`"), F.col(f"`{end}`"))
+        for c in keys:
+            same = same & (F.col(f"`{c}`") == F.col(f"`_on_{c}`"))
+        spare = ["_at", "_cell", *[f"_on_{c}" for c in keys]]
+        if how == "left" and len(levels) == 1:
+            return asked.join(cells, same, "left").drop(*spare)
+        hits = left.withColumn("_at", at).join(cells, same, "inner").drop(*spare)
+        found = hits if found is None else found.unionByName(hits)
+        if how == "left":
+            rest = asked.join(cells, same, "left_anti").drop("_at")
+    return found.unionByName(rest, allowMissingColumns=True) if how == "left" else found
 
 
 def unroll(df: DataFrame, *arrays: str, into: list[str] | None = None, outer: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field, replace
@@ -123,39 +124,58 @@ def generate(tables: dict[str, TableSpec], before: dict[str, Any]) -> tuple[list
     return out, snapshot(tables)
 
 
+#: Quoted text and names, comments, and the semicolons between them.
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;""", re.S)
+
+
 def statements(text: str) -> list[str]:
-    """Split at semicolons outside quotes; comments and blanks go."""
-    parts = re.split(r"('(?:[^'\\]|\\.)*')", re.sub(r"--[^\n]*", "", text))
-    out, current = [], ""
-    for i, p in enumerate(parts):
-        if i % 2:
-            current += p
-            continue
-        *done, rest = p.split(";")
-        for d in done:
-            out.append((current + d).strip())
+    """Split at semicolons outside quotes and comments; comments and blanks go."""
+    out, current, at = [], "", 0
+    for m in _TOKEN.finditer(text):
+        current += text[at : m.start()]
+        at = m.end()
+        if m[0] == ";":
+            out.append(current.strip())
             current = ""
-        current += rest
-    return [s for s in [*out, current.strip()] if s]
+        elif m[0].startswith(("--", "/*")):
+            current += " " if m[0].startswith("/*") else ""
+        else:
+            current += m[0]
+    return [s for s in [*out, (current + text[at:]).strip()] if s]
+
+
+#: The step that notes a whole file.
+_WHOLE = -1
 
 
 def migrate(spark: SparkSession, files: dict[str, str], history: str) -> list[str]:
-    """Run the files (name -> text) that the history table lacks, in order of their names, and note each."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {history} (name STRING, at TIMESTAMP) USING PARQUET")
-    done = {r["name"] for r in spark.table(history).select("name").collect()}
+    """Run the files (name -> text) that the history table lacks, in order of their names. Every statement is noted once it
+    has run, so a file that failed midway goes on where it stopped; a statement whose text has changed since runs again."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {history} (name STRING, step INT, digest STRING, at TIMESTAMP) USING PARQUET")
+    noted = {(r["name"], r["step"], r["digest"]) for r in spark.table(history).select("name", "step", "digest").collect()}
+    whole = {name for name, step, _ in noted if step == _WHOLE}
+
+    def note(name: str, step: int, digest: str) -> None:
+        spark.sql(f"INSERT INTO {history} SELECT :name, :step, :digest, current_timestamp()", args={"name": name, "step": step, "digest": digest})
+
     ran = []
     for name in sorted(files):
-        if name not in done:
-            for x in statements(files[name]):
+        if name in whole:
+            continue
+        for step, x in enumerate(statements(files[name])):
+            digest = hashlib.sha256(x.encode()).hexdigest()
+            if (name, step, digest) not in noted:
                 spark.sql(x)
-            spark.sql(f"INSERT INTO {history} SELECT :name, current_timestamp()", args={"name": name})
-            ran.append(name)
+                note(name, step, digest)
+        note(name, _WHOLE, "")
+        ran.append(name)
     return ran
 
 
 def status(spark: SparkSession, files: dict[str, str], history: str) -> dict[str, str]:
-    done = {r["name"] for r in spark.table(history).select("name").collect()} if spark.catalog.tableExists(history) else set()
-    return {n: "applied" if n in done else "pending" for n in sorted(files)}
+    rows = spark.table(history).select("name", "step").collect() if spark.catalog.tableExists(history) else []
+    whole, begun = {r["name"] for r in rows if r["step"] == _WHOLE}, {r["name"] for r in rows}
+    return {n: "applied" if n in whole else "begun" if n in begun else "pending" for n in sorted(files)}
 
 
 def pull(spark: SparkSession, names: list[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import redirect_stdout
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -138,7 +138,8 @@ class Query:
         return replace(self, skip=n)
 
     def settings(self, **conf: Any) -> Query:
-        """Session settings for the time that a terminal method runs; only ``spark.sql.*``, with dots as double underscores."""
+        """Settings that hold for this query alone, whenever its plan runs; only ``spark.sql.*``, with dots as double
+        underscores."""
         made = tuple((k.replace("__", "."), str(v)) for k, v in conf.items())
         for k, _ in made:
             if not k.startswith("spark.sql."):
@@ -225,6 +226,17 @@ class Query:
         return _frame(self.spark, x)
 
     def df(self) -> DataFrame:
+        return self._scoped(self._plan()) if self.conf else self._plan()
+
+    def _scoped(self, plan: DataFrame) -> DataFrame:
+        """The plan in a copy of the session that has the settings; catalog, cache and functions are shared or copied."""
+        copy = self.spark._jsparkSession.cloneSession()
+        for k, v in self.conf:
+            copy.conf().set(k, v)
+        jdf = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, plan._jdf.queryExecution().logical())
+        return DataFrame(jdf, SparkSession(self.spark.sparkContext, copy))
+
+    def _plan(self) -> DataFrame:
         out = self._resolve(self.source)
         if isinstance(self.source, TableSpec) and (self.source.default_final if self.wants_final is None else self.wants_final):
             out = engines.final(out, self.source.engine, self.source.order_by)
@@ -308,25 +320,15 @@ class Query:
 
     # Terminals.
 
-    def _run(self, f: Callable[[DataFrame], Any]) -> Any:
-        was = {k: self.spark.conf.get(k, None) for k, _ in self.conf}
-        try:
-            for k, v in self.conf:
-                self.spark.conf.set(k, v)
-            return f(self.df())
-        finally:
-            for k, v in was.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-
     def collect(self) -> list[Row]:
-        return self._run(lambda d: d.collect())
+        return self.df().collect()
 
     def stream(self) -> Iterator[Row]:
         """Rows one partition at a time."""
-        return self._run(lambda d: d.toLocalIterator(prefetchPartitions=True))
+        return self.df().toLocalIterator(prefetchPartitions=True)
 
     def find_first(self) -> Row | None:
-        return self.limit(1)._run(lambda d: d.first())
+        return self.limit(1).df().first()
 
     find_unique = find_first
 
@@ -337,18 +339,35 @@ class Query:
     def find_many_cursor(self, column: str, limit: int, cursor: Any = None, descending: bool = False) -> tuple[list[Row], Any]:
         """A page in order of a unique column after the cursor, and the next page's cursor, None at the end. The query's own
         condition stays."""
+        rows = self.page(column, limit + 1, cursor, descending).collect()
+        more = len(rows) > limit
+        return rows[:limit], rows[limit - 1][column] if more else None
+
+    def page(self, column: str, limit: int, cursor: Any = None, descending: bool = False) -> DataFrame:
+        """The plan of a page."""
         d = self.df()
         if cursor is not None:
             d = d.where(F.col(column) < F.lit(cursor) if descending else F.col(column) > F.lit(cursor))
-        rows = d.orderBy(F.col(column).desc() if descending else F.col(column).asc()).limit(limit + 1).collect()
-        more = len(rows) > limit
-        return rows[:limit], rows[limit - 1][column] if more else None
+        return d.orderBy(F.col(column).desc() if descending else F.col(column).asc()).limit(limit)
+
+    def union(self, other: Any) -> Query:
+        """The rows of both, by place and without duplicates; a query over the result."""
+        return Query(self.spark).from_(self.df().union(_frame(self.spark, other)).distinct())
+
+    def union_all(self, other: Any) -> Query:
+        return Query(self.spark).from_(self.df().union(_frame(self.spark, other)))
+
+    def except_(self, other: Any) -> Query:
+        return Query(self.spark).from_(self.df().subtract(_frame(self.spark, other)))
+
+    def intersect(self, other: Any) -> Query:
+        return Query(self.spark).from_(self.df().intersect(_frame(self.spark, other)))
 
     def count(self) -> int:
-        return self._run(lambda d: d.count())
+        return self.df().count()
 
     def exists(self) -> bool:
-        return not self._run(lambda d: d.isEmpty())
+        return not self.df().isEmpty()
 
     def find_many_with_meta(self, limit: int, offset: int = 0, total: bool = False) -> dict[str, Any]:
         rows = self.offset(offset).limit(limit + 1).collect()
@@ -364,7 +383,7 @@ class Query:
 
     def native(self) -> Any:
         """An Arrow table."""
-        return self._run(lambda d: d.toArrow())
+        return self.df().toArrow()
 
     vector = native
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import engines
+from tessera import engines, scratch
 from tessera.engines import Engine, summing_merge_tree
 from tessera.plans.query import Query
 
@@ -27,7 +28,8 @@ def view(spark: SparkSession, name: str, query: str | DataFrame | Query, or_repl
 @dataclass(frozen=True)
 class MaterializedView:
     """A query whose result is kept in a table. ``refresh`` computes it anew; ``apply`` takes only new rows of the source and
-    appends their partial result, which ``read`` merges by the engine, as a trigger on inserts would."""
+    appends their partial result, which ``read`` merges by the engine, as a trigger on inserts would. Every part, the
+    back-fill too, is a partition of the target's folder."""
 
     name: str
     query: Any
@@ -40,17 +42,22 @@ class MaterializedView:
         return self.query(source)
 
     def refresh(self, source: DataFrame) -> None:
-        self._result(source).write.mode("overwrite").parquet(self.target)
+        """Everything that was applied goes; what the source's rows give is the first part of the target."""
+        spark, new = source.sparkSession, f"{self.target.rstrip('/')}__new_{uuid.uuid4().hex}"
+        try:
+            self._result(source).write.parquet(f"{new}/_batch=populated")
+        except Exception:
+            scratch.remove(spark, new)
+            raise
+        scratch.remove(spark, self.target)
+        scratch.move(spark, new, self.target)
 
     populate = refresh
 
     def apply(self, new_rows: DataFrame, batch: int | None = None) -> None:
-        """``batch`` numbers a streaming batch: applying it again changes nothing."""
-        out = self._result(new_rows)
-        if batch is None:
-            out.write.mode("append").parquet(self.target)
-        else:
-            out.write.mode("overwrite").parquet(f"{self.target}/_batch={batch}")
+        """Adds to the target. ``batch`` numbers a streaming batch: applying it again changes nothing."""
+        part = f"added-{uuid.uuid4().hex}" if batch is None else str(batch)
+        self._result(new_rows).write.mode("overwrite").parquet(f"{self.target.rstrip('/')}/_batch={part}")
 
     def stored(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.target)

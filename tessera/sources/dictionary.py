@@ -90,15 +90,17 @@ class Dictionary:
         return out
 
     def _by_prefix(self, df: DataFrame, on: str, names: dict[str, str], defaults: dict[str, Any], found: str | None) -> DataFrame:
-        """The longest prefix that holds the IPv4 address: an equality join for each prefix length that occurs, on the
-        address's own prefix of that length."""
-        size = F.split(F.col(self.keys[0]), "/")
-        side = self.source.select(ip_number(F.get(size, F.lit(0))).alias("_net"), F.coalesce(F.get(size, F.lit(1)).try_cast("int"), F.lit(32)).alias("_len"), F.struct(*[F.col(c) for c in names]).alias("_attrs"))
-        side = side.withColumn("_net", F.floor(F.col("_net") / F.pow(F.lit(2.0), 32 - F.col("_len"))).cast("bigint"))
-        sizes = F.sequence(F.lit(0), F.lit(32))
-        asked = df.select(F.col(on).alias("_ip")).distinct().withColumn("_n", ip_number(F.col("_ip"))).withColumn("_l", F.explode(sizes))
-        asked = asked.withColumn("_m", F.floor(F.col("_n") / F.pow(F.lit(2.0), 32 - F.col("_l"))).cast("bigint"))
-        hits = asked.join(broadcast_if_small(side), (F.col("_m") == F.col("_net")) & (F.col("_l") == F.col("_len")))
+        """The longest prefix that holds the address, of IPv4 or IPv6: an equality join for each prefix length that occurs (129
+        at most), on the address's own prefix of that length."""
+        parts = F.split(F.col(self.keys[0]), "/")
+        net, given = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).try_cast("int")
+        size = F.when(net.contains(":"), F.coalesce(given, F.lit(128))).otherwise(F.coalesce(given, F.lit(32)) + 96)
+        side = self.source.select(ip_bits(net).alias("_net"), size.alias("_len"), F.struct(*[F.col(c) for c in names]).alias("_attrs"))
+        side = side.where("_net is not null and _len between 0 and 128").withColumn("_net", F.left("_net", F.col("_len")))
+        sizes = sorted(r["_len"] for r in side.select("_len").distinct().collect())
+        asked = df.select(F.col(on).alias("_ip")).distinct().withColumn("_bits", ip_bits(F.col("_ip")))
+        asked = asked.where("_bits is not null").withColumn("_l", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
+        hits = asked.join(broadcast_if_small(side), (F.left("_bits", F.col("_l")) == F.col("_net")) & (F.col("_l") == F.col("_len")))
         best = hits.groupBy("_ip").agg(F.max_by("_attrs", "_len").alias("_row"))
         return self._finish(df.join(best, df[on] == F.col("_ip"), "left"), df.columns, names, defaults, found)
 
@@ -123,6 +125,24 @@ def ip_number(text: Column) -> Column:
     return F.when(ok, n[0] * 16777216 + n[1] * 65536 + n[2] * 256 + n[3])
 
 
+def ip_bits(text: Column) -> Column:
+    """The 128 binary digits of an address, that of IPv4 mapped into IPv6; null if it is neither."""
+    plain = ip_number(text)
+    four = F.concat(F.repeat(F.lit("0"), 80), F.repeat(F.lit("1"), 16), F.lpad(F.bin(plain), 32, "0"))
+    # An IPv4 address at the end stands for two groups.
+    tail = F.regexp_extract(text, r"(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    digits = F.lpad(F.hex(ip_number(tail)), 8, "0")
+    whole = F.when(tail != "", F.concat(F.left(text, F.length(text) - F.length(tail)), F.left(digits, F.lit(4)), F.lit(":"), F.right(digits, F.lit(4)))).otherwise(text)
+    halves = F.split(F.lower(whole), "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    head, end = groups(0), groups(1)
+    missing = F.lit(8) - F.size(head) - F.size(end)
+    every = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), end)
+    ok = text.contains(":") & (F.size(halves) <= 2) & ~whole.rlike(r":::|^:[^:]|[^:]:$") & ((missing == 0) & (F.size(halves) == 1) | (missing >= 1) & (F.size(halves) == 2)) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    six = F.array_join(F.transform(every, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    return F.when(plain.isNotNull(), four).when(ok, six)
+
+
 def dictionary(name: str, source: DataFrame | str, keys: list[str] | str, *, spark: SparkSession | None = None, layout: str = "hashed", **options: Any) -> Dictionary:
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout}")

@@ -220,41 +220,70 @@ def insert_many(spark: SparkSession, spec: TableSpec, rows: Iterable[dict] | Ite
 
 
 class Batcher:
-    """A buffer in the driver, written when it has so many rows or is so old; errors of a flush are raised to the caller."""
+    """A buffer in the driver, written when it has so many rows, and by a timer when its first row is so old. An error of the
+    timer's write keeps the rows and is raised by the next call."""
 
     def __init__(self, spark: SparkSession, spec: TableSpec, rows: int = 10_000, seconds: float = 5.0) -> None:
         self.spark, self.spec, self.rows, self.seconds = spark, spec, rows, seconds
         self._held: list[dict] = []
-        self._since = 0.0
-        self._lock = threading.Lock()
+        self._lock, self._writing = threading.Lock(), threading.Lock()
+        self._timer: threading.Timer | None = None
+        self._failed: Exception | None = None
 
     def append(self, row: dict) -> None:
+        self._raise()
         with self._lock:
-            if not self._held:
-                self._since = time.monotonic()
             self._held.append(row)
-            due = len(self._held) >= self.rows or time.monotonic() - self._since >= self.seconds
+            due = len(self._held) >= self.rows
+            if not due and self._timer is None:
+                self._timer = threading.Timer(self.seconds, self._late)
+                self._timer.daemon = True
+                self._timer.start()
         if due:
             self.flush()
 
-    def flush(self) -> int:
+    def _raise(self) -> None:
         with self._lock:
-            held, self._held = self._held, []
-        if held:
-            try:
-                insert(self.spark, self.spec).values(held).execute()
-            except Exception:
-                with self._lock:
-                    self._held = held + self._held
-                raise
+            failed, self._failed = self._failed, None
+        if failed is not None:
+            raise failed
+
+    def _late(self) -> None:
+        try:
+            self.flush()
+        except Exception as e:  # for the next call
+            with self._lock:
+                self._failed = e
+
+    def flush(self) -> int:
+        """Write what is held; the number of its rows."""
+        with self._writing:
+            with self._lock:
+                held, self._held = self._held, []
+                timer, self._timer = self._timer, None
+            if timer is not None:
+                timer.cancel()
+            if held:
+                try:
+                    insert(self.spark, self.spec).values(held).execute()
+                except Exception:
+                    with self._lock:
+                        self._held = held + self._held
+                    raise
         return len(held)
 
+    def close(self) -> None:
+        self._raise()
+        self.flush()
+
     def __enter__(self) -> Batcher:
         return self
 
     def __exit__(self, kind: Any, *_: Any) -> None:
         if kind is None:
-            self.flush()
+            self.close()
+        elif self._timer is not None:
+            self._timer.cancel()
 
 
 def _guard(spec: TableSpec, condition: Any, what: str) -> None:

@@ -4,7 +4,6 @@ over the data; connectors that need a jar fail with Spark's own message where it
 from __future__ import annotations
 
 import re
-import tempfile
 import urllib.request
 from typing import Any
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.scratch import shared_dir
 from tessera.types import spark_type
 
 _KEEP = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -97,7 +97,7 @@ def hdfs(spark: SparkSession, path: str, format: str = "Parquet", columns: Any =
 
 def url(spark: SparkSession, address: str, format: str = "CSVWithNames", columns: Any = None, folder: str | None = None, timeout: float = 60, **options: Any) -> DataFrame:
     """Downloaded once, by the driver, into a folder that executors see: that of ``spark.checkpoint.dir`` unless given."""
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-url-")
+    folder = folder or shared_dir(spark)
     target = f"{folder.rstrip('/')}/{re.sub(r'[^A-Za-z0-9.]', '_', address)}"
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)

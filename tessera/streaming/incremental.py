@@ -38,10 +38,34 @@ def kafka_options(engine: Engine, max_offsets: int | None = None, start: str = "
     return {**out, "maxOffsetsPerTrigger": str(max_offsets)} if max_offsets else out
 
 
+def messages(raw: DataFrame, columns: Any, format: str = "JSONEachRow", value: str = "value") -> DataFrame:
+    """Rows of a column of messages, one a message: JSON objects or arrays, lines of CSV or TSV, Avro records (with Spark's Avro
+    package; ``columns`` is then its schema in JSON) or the text itself in one column. A message that can't be read gives
+    a row of nulls."""
+    text = F.col(value).cast("string")
+    if format in ("RawBLOB", "LineAsString", "Text"):
+        kind = schema_of(columns)
+        return raw.select(text.cast(kind.fields[0].dataType).alias(kind.fields[0].name))
+    if format == "Avro":
+        from pyspark.sql.avro.functions import from_avro
+
+        return raw.select(from_avro(F.col(value), columns, {"mode": "PERMISSIVE"}).alias("row")).select("row.*")
+    kind = schema_of(columns)
+    if format == "JSONEachRow":
+        return raw.select(F.from_json(text, kind).alias("row")).select("row.*")
+    if format in ("JSONCompactEachRow", "JSONCompact"):
+        given = raw.select(F.from_json(text, "array<string>").alias("v"))
+        return given.select(*[F.get("v", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(kind.fields)])
+    separators = {"CSV": ",", "TSV": "\t", "TabSeparated": "\t"}
+    if format not in separators:
+        raise ValueError(f"unknown message format {format}")
+    return raw.select(F.from_csv(text, kind.simpleString()[7:-1].replace(":", " "), {"sep": separators[format]}).alias("row")).select("row.*")
+
+
 def kafka_stream(spark: SparkSession, engine: Engine, columns: Any, **options: Any) -> DataFrame:
-    """The rows of a topic's JSON messages. Needs Spark's Kafka connector on the classpath."""
+    """The rows of a topic's messages in the engine's format. Needs Spark's Kafka connector on the classpath."""
     raw = spark.readStream.format("kafka").options(**kafka_options(engine, **options)).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema_of(columns)).alias("row")).select("row.*")
+    return messages(raw, columns, engine.option("format"))
 
 
 def tumbling(df: DataFrame, time: str, size: str, by: list[str], aggregates: dict[str, Column], late: str | None = None, slide: str | None = None) -> DataFrame:

@@ -75,3 +75,19 @@ def test_frequent_values_skip_nulls_and_break_ties(spark):
     assert {r["g"]: r["top"] for r in frequent.top_k(df, "v", 2, ["g"]).collect()} == {"a": [1, 2], "b": [3]}
     assert frequent.top_k(df, "v", 2).first()["top"] == [1, 3] and frequent.bottom_k(df, "v", 1).first()["bottom"] == [2]
     assert frequent.top_sum(df, "v", 1).first()["top"] == [3] and frequent.bottom_sum(df, "v", 2).first()["bottom"] == [1, 2]
+
+
+def test_left_interval_join_keeps_rows_without_a_match(spark):
+    point = spark.createDataFrame([(5.0,), (None,)], "x double")
+    assert rows(joins.interval_join(point, spark.createDataFrame([(6.0, 7.0)], "lo double, hi double"), "x", "lo", "hi", 10.0, how="left")) == [(5.0, None, None), (None, None, None)]
+    rnd = random.Random(3)
+    points = [(i, i % 3, rnd.uniform(-5000, 5000)) for i in range(80)] + [(80, 1, None), (81, None, 1.0), (82, 0, float("inf"))]
+    spans = [(i, i % 3, lo := rnd.uniform(-5000, 5000), lo + rnd.choice([0.0, 1.0, 7.9, 900.0, 1e6])) for i in range(40)] + [(90, 0, 1.0, float("inf")), (91, 1, float("-inf"), float("inf")), (92, 1, None, 3.0)]
+    spans += [(90, 0, 1.0, float("inf"))]  # a repeated row
+    left, right = spark.createDataFrame(points, "i int, g int, x double"), spark.createDataFrame(spans, "j int, g int, lo double, hi double")
+    for how in ("inner", "left"):
+        want = []
+        for i, g, x in points:
+            hit = [j for j, h, lo, hi in spans if g == h and g is not None and x is not None and lo is not None and lo <= x <= hi]
+            want += [(i, j) for j in hit] or ([(i, None)] if how == "left" else [])
+        assert rows(joins.interval_join(left, right, "x", "lo", "hi", 7.0, ["g"], how).select("i", "j")) == sorted(want, key=str)

@@ -15,7 +15,7 @@ def users(**columns):
 @pytest.fixture(autouse=True)
 def clean(spark):
     yield
-    for n in ("mig_users", "mig_users__old", "mig_users__shadow", "mig_history", "mig_new"):
+    for n in ("mig_users", "mig_users__old", "mig_users__shadow", "mig_history", "mig_new", "resumed", "resumed_history"):
         spark.sql(f"DROP TABLE IF EXISTS {n}")
 
 
@@ -105,3 +105,21 @@ def test_config():
     good = {"schema": "a.py", "out": "out", "databases": {"main": {"database": "default"}}}
     assert M.validate_config(good) == []
     assert M.validate_config({**good, "default": "x"}) and M.validate_config({**good, "databases": {}}) and M.validate_config({"schema": "", "out": 1, "databases": {"a": {"database": "1x"}, "b": 3}})
+
+
+def test_statements_with_marks_inside_quotes():
+    text = """INSERT INTO t VALUES ('a--b; c', 'it''s'); -- a note; with 'a quote
+    SELECT "x;--y", `q;`; /* gone;
+    too */ SELECT 1 -- end"""
+    assert M.statements(text) == ["INSERT INTO t VALUES ('a--b; c', 'it''s')", 'SELECT "x;--y", `q;`', "SELECT 1"]
+
+
+def test_a_migration_goes_on_where_it_failed(spark):
+    spark.sql("DROP TABLE IF EXISTS resumed")
+    files = {"1.sql": "CREATE TABLE resumed (n INT) USING PARQUET; INSERT INTO resumed VALUES (1); SELECT * FROM no_such_table"}
+    with pytest.raises(Exception, match="no_such_table"):
+        M.migrate(spark, files, "resumed_history")
+    assert M.status(spark, files, "resumed_history") == {"1.sql": "begun"}
+    files["1.sql"] = files["1.sql"].replace("no_such_table", "resumed")
+    assert M.migrate(spark, files, "resumed_history") == ["1.sql"] and M.migrate(spark, files, "resumed_history") == []
+    assert spark.table("resumed").count() == 1

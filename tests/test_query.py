@@ -111,6 +111,10 @@ def test_settings_hold_for_one_run(spark, people):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     q = Query(spark).from_(people).group_by("age").select(n=A.count()).settings(spark__sql__shuffle__partitions=2)
     assert len(q.collect()) == 3 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    # They hold for a frame and a stream of rows, too, and for them alone.
+    cased = Query(spark).from_(people).select(x=F.expr("1 = 1")).settings(spark__sql__ansi__enabled="false", spark__sql__session__timeZone="Asia/Tokyo")
+    zoned = cased.select(z=F.expr("current_timezone()"))
+    assert zoned.df().first()["z"] == "Asia/Tokyo" == next(zoned.stream())["z"] and spark.conf.get("spark.sql.session.timeZone") == "UTC"
     with pytest.raises(ValueError):
         q.settings(spark__driver__memory="1g")
 

@@ -1,14 +1,17 @@
 import datetime
 import http.server
+import os
 import threading
+import time
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import engines
+from tessera import engines, scratch
 from tessera.sources import dml, external
 from tessera.sources.dictionary import dictionary
+from tessera.streaming import incremental
 from tessera.table import table
 from tessera.types import created_at, t
 
@@ -177,3 +180,65 @@ def test_times_of_inserts(spark, tmp_path):
     dml.insert(spark, flat).values({"id": 1, "at": now}).execute()
     dml.insert(spark, at).values({"id": 1, "at": now, "many": [now]}).execute()
     assert flat.read(spark).first()["at"] == at.read(spark).first()["at"] == at.read(spark).first()["many"][0] == now
+
+
+def test_batcher_writes_what_is_old(spark, spec):
+    b = dml.Batcher(spark, spec, rows=1000, seconds=0.2)
+    b.append({"n": 1})
+    for _ in range(100):
+        time.sleep(0.1)
+        if os.path.exists(spec.path) and spec.read(spark).count() == 1:
+            break
+    assert spec.read(spark).count() == 1
+    b.seconds = 0.05
+    b.append({"nothing": 1})
+    time.sleep(1)
+    with pytest.raises(ValueError, match="nothing"):
+        b.append({"n": 2})
+
+
+def test_ip_trie_of_both_versions(spark):
+    import ipaddress
+
+    nets = ["10.0.0.0/8", "10.1.0.0/16", "192.168.1.7", "2001:db8::/32", "2001:db8:1::/48", "::1", "fe80::1:2/128", "::ffff:172.16.0.0/108", "junk/8"]
+    asked = ["10.1.2.3", "10.2.0.1", "192.168.1.7", "2001:db8::5", "2001:DB8:1:0::9", "::1", "fe80::1:2", "172.16.5.5", "::ffff:10.2.0.1", "8.8.8.8", "1::2::3", "12345::", "x", "1:2:3", None]
+    d = dictionary("nets", spark.createDataFrame([(n, n) for n in nets], "net string, name string"), "net", layout="ip_trie")
+
+    def number(text):
+        a = ipaddress.ip_address(text)
+        return int(a) if a.version == 6 else int(a) + (0xFFFF << 32)
+
+    def best(ip):
+        try:
+            at = number(ip)
+        except ValueError:
+            return None
+        held = []
+        for n in nets[:-1]:
+            net, _, size = n.partition("/")
+            bits = (int(size) if size else 128 if ":" in net else 32) + (0 if ":" in net else 96)
+            if number(net) >> (128 - bits) == at >> (128 - bits):
+                held.append((bits, n))
+        return max(held)[1] if held else None
+
+    out = d.get(spark.createDataFrame([(i,) for i in asked], "ip string"), "ip", "name")
+    assert {r["ip"]: r["name"] for r in out.collect()} == {i: None if i is None else best(i) for i in asked}
+
+
+def test_formats_of_messages(spark):
+    raw = lambda *v: spark.createDataFrame([(x.encode(),) for x in v], "value binary")
+    got = lambda m, f: [tuple(r) for r in incremental.messages(m, "a Int32, b String", f).collect()]
+    assert got(raw('{"a": 1, "b": "x"}', "junk"), "JSONEachRow") == [(1, "x"), (None, None)]
+    assert got(raw('[1, "x"]'), "JSONCompactEachRow") == [(1, "x")] and got(raw("1,x"), "CSV") == [(1, "x")] and got(raw("1\tx"), "TSV") == [(1, "x")]
+    assert [tuple(r) for r in incremental.messages(raw("line"), "a String", "LineAsString").collect()] == [("line",)]
+    with pytest.raises(ValueError, match="Protobuf"):
+        incremental.messages(raw("x"), "a Int32", "Protobuf")
+
+
+def test_a_folder_that_all_share_is_needed_off_one_machine(spark):
+    from types import SimpleNamespace
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://there", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(fake)
+    assert scratch.exists(spark, scratch.application_dir(spark))

@@ -40,6 +40,19 @@ def test_a_batch_counts_once(spark, sales, tmp_path):
     assert rows(v.read(spark)) == [("a", 14), ("b", 6)]
 
 
+def test_back_fill_and_batches_add_up(spark, tmp_path):
+    rows = lambda *v: spark.createDataFrame(list(v), "k string, n long")
+    made = lambda d: d.groupBy("k").agg(F.sum("n").alias("n"))
+    view = views.materialized_view("v", made, target=str(tmp_path / "mv"), group_by=["k"], populate_from=rows(("a", 1), ("b", 2)))
+    for apply in (lambda r: view.apply(r, 0), lambda r: view.apply(r, 0), view.apply, view.apply):
+        apply(rows(("a", 1), ("b", 2)))
+    assert {r["k"]: r["n"] for r in view.read(spark).collect()} == {"a": 4, "b": 8}
+    view.refresh(rows(("c", 5)))
+    assert {r["k"]: r["n"] for r in view.read(spark).collect()} == {"c": 5}
+    view.populate(rows())
+    assert view.read(spark).count() == 0
+
+
 def test_maintained_by_a_stream(spark, sales, tmp_path):
     v = views.materialized_view("v", per_shop, target=str(tmp_path / "v"), group_by=["shop"])
     for k in (0, 1):
