@@ -105,9 +105,20 @@ def order_limit_offset(spark, sf):
     return Query(spark).from_(specs(sf)["orders"]).select("o_orderkey", "o_totalprice").order_by(("o_totalprice", "desc"), "o_orderkey").limit(20).offset(5).df()
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")
+@query("SELECT CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 7 AS INTEGER) AS page, n_nationkey, n_name FROM nation")
 def cursor_page(spark, sf):
-    return Query(spark).from_(specs(sf)["orders"]).select("o_orderkey", "o_custkey").where(P.gt("o_orderkey", 100)).order_by("o_orderkey").limit(50).df()
+    pages, cursor, number = [], None, 0
+    while True:
+        rows, cursor = Query(spark).from_(specs(sf)["nation"]).find_many_cursor("n_nationkey", 7, cursor)
+        pages += [(number, r["n_nationkey"], r["n_name"]) for r in rows]
+        number += 1
+        if cursor is None:
+            return spark.createDataFrame(pages, "page int, n_nationkey int, n_name string")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 9000 ORDER BY o_orderkey DESC LIMIT 50")
+def cursor_page_down(spark, sf):
+    return Query(spark).from_(specs(sf)["orders"]).select("o_orderkey", "o_custkey").page("o_orderkey", 50, 9000, descending=True)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
@@ -205,6 +216,13 @@ def join_range(spark, sf):
     return joins.interval_join(read(spark, sf, "events"), bands, "value", "lo", "hi", width=50.0).select("event_id", "band")
 
 
+@query("""SELECT event_id, hi FROM events LEFT JOIN (SELECT CAST(s_suppkey AS DOUBLE) * 3 AS lo, CAST(s_suppkey AS DOUBLE) * 3 + CASE WHEN s_suppkey % 10 = 0 THEN 200 ELSE 1 END AS hi FROM supplier) ON value BETWEEN lo AND hi""")
+def join_range_left(spark, sf):
+    lo = F.col("s_suppkey").cast("double") * 3
+    spans = read(spark, sf, "supplier").select(lo.alias("lo"), (lo + F.when(F.col("s_suppkey") % 10 == 0, 200).otherwise(1)).alias("hi"))
+    return joins.interval_join(read(spark, sf, "events"), spans, "value", "lo", "hi", width=2.0, how="left").select("event_id", "hi")
+
+
 _ASOF = """SELECT l.event_id, r.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF {} JOIN
   (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'view') WHERE k = 1) r
   ON l.user_id = r.user_id AND l.ts >= r.ts"""
@@ -304,9 +322,9 @@ def agg_bottomsum(spark, sf):
     return frequent.bottom_sum(read(spark, sf, "events").withColumn("v", F.col("value").cast("decimal(18,4)")), "user_id", 4, ["event_type"], weight="v", to="best")
 
 
-@query("SELECT label, list_sort(flatten(list(embedding[1:2]))) AS heads FROM embeddings WHERE vec_id < 60 GROUP BY 1")
+@query("SELECT label, list_sort(flatten(list(embedding))) AS parts FROM embeddings GROUP BY 1")
 def agg_group_array_array(spark, sf):
-    return read(spark, sf, "embeddings").where("vec_id < 60").groupBy("label").agg(F.array_sort(A.group_array_array(F.slice("embedding", 1, 2))).alias("heads"))
+    return read(spark, sf, "embeddings").groupBy("label").agg(F.array_sort(A.group_array_array("embedding")).alias("parts"))
 
 
 # Windows.
@@ -429,11 +447,22 @@ def time_parts(spark, sf):
 # Arrays and JSON.
 
 
-@query("SELECT doc_id, word, n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS n FROM documents) WHERE n <= 5")
+@query("SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS n FROM documents")
 def array_join_unroll(spark, sf):
     words = read(spark, sf, "documents").select("doc_id", S.split_by_char("text", " ").alias("word"))
-    words = words.withColumn("n", F.sequence(F.lit(1).cast("bigint"), F.size("word").cast("bigint")))
-    return Query(spark).from_(words).array_join("word", "n").where(P.lte("n", 5)).select("doc_id", "word", "n").df()
+    words = words.withColumn("n", F.when(F.size("word") > 0, F.sequence(F.lit(1).cast("bigint"), F.size("word").cast("bigint"))))
+    return Query(spark).from_(words).array_join("word", "n").select("doc_id", "word", "n").df()
+
+
+@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+def array_join_named(spark, sf):
+    return Query(spark).from_(read(spark, sf, "embeddings")).array_join_as("embedding", "x").select("vec_id", "x").df()
+
+
+@query("SELECT vec_id, unnest(embedding) AS a, unnest(list_reverse(embedding)) AS b FROM embeddings")
+def array_join_several(spark, sf):
+    both = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("a"), F.reverse("embedding").alias("b"))
+    return Query(spark).from_(both).array_join_multiple("a", "b").select("vec_id", "a", "b").df()
 
 
 @query("""SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2) AS doubled, list_filter(embedding, lambda x: x > 0.1) AS positive, CAST(len(embedding) AS INTEGER) AS n, embedding[1] AS first, embedding[-1] AS last, list_reverse(embedding) AS rev,
@@ -468,16 +497,6 @@ def json_keys(spark, sf):
     return read(spark, sf, "events").select("event_id", jsons.json_extract_keys("props").alias("keys"), jsons.json_length("props").alias("n"))
 
 
-@query("SELECT event_id, 'object' AS whole, 'number' AS k FROM events")
-def json_type(spark, sf):
-    return read(spark, sf, "events").select("event_id", jsons.json_type("props").alias("whole"), jsons.json_type("props", "k").alias("k"))
-
-
-@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"z":1}' AS put, '{"k":"new"}' AS swapped, '{}' AS gone FROM events""")
-def json_edit(spark, sf):
-    return read(spark, sf, "events").select("event_id", jsons.json_insert("props", "z", 1).alias("put"), jsons.json_replace("props", "k", "new").alias("swapped"), jsons.json_remove("props", "k").alias("gone"))
-
-
 # Merge semantics.
 
 
@@ -578,18 +597,6 @@ def dict_range(spark, sf):
     return d.get(read(spark, sf, "events").withColumn("at", F.floor("value")), "event_type", "price", at="at").select("event_id", "price")
 
 
-@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_totalprice::DECIMAL(18,2)) AS DOUBLE) AS total FROM orders GROUP BY 1")
-def mv_rollup(spark, sf):
-    from tessera.plans.views import MaterializedView
-
-    # As a view that has seen the orders in two batches would be read.
-    view = MaterializedView("rollup", lambda o: o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("total")), "", order_by=("o_orderstatus",))
-    orders = read(spark, sf, "orders")
-    halves = [view._result(orders.where(F.col("o_orderkey") % 2 == k)) for k in (0, 1)]
-    merged = engines.final(halves[0].unionByName(halves[1]), engines.summing_merge_tree("n", "total"), ["o_orderstatus"])
-    return merged.select("o_orderstatus", "n", F.col("total").cast("double").alias("total"))
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def window_tumbling(spark, sf):
     out = incremental.tumbling(read(spark, sf, "events"), "ts", "1 hour", ["event_type"], {"n": F.count("*")})
@@ -610,8 +617,14 @@ def cube_counts(spark, sf):
 
 @query("(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
 def set_operations(spark, sf):
-    both = read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf, "supplier").select("s_nationkey")).distinct()
-    return both.subtract(read(spark, sf, "nation").where("n_regionkey = 0").select("n_nationkey"))
+    nations = Query(spark).from_(read(spark, sf, "customer")).select(k="c_nationkey").union(Query(spark).from_(read(spark, sf, "supplier")).select(k="s_nationkey"))
+    return nations.except_(Query(spark).from_(read(spark, sf, "nation").where("n_regionkey = 0")).select(k="n_nationkey")).df()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation")
+def set_operations_all(spark, sf):
+    both = Query(spark).from_(read(spark, sf, "customer")).select(k="c_nationkey").intersect(Query(spark).from_(read(spark, sf, "supplier")).select(k="s_nationkey"))
+    return both.union_all(Query(spark).from_(specs(sf)["nation"]).select(k="n_nationkey")).df()
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 2")

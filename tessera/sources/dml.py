@@ -87,7 +87,7 @@ def insert_plan(spark: SparkSession, spec: TableSpec, rows: Iterable[dict] | Dat
         if isinstance(c.data_type, T.VariantType) and not isinstance(df.schema[c.name].dataType, T.VariantType):
             x = F.parse_json(x.cast("string"))
         elif df.schema[c.name].dataType != c.data_type:
-            x = x.cast(c.data_type)
+            x = x.cast(_relaxed(c.data_type))
         if c.materialized_expr:
             x = F.expr(c.materialized_expr).cast(c.data_type)
         elif c.default_expr:
@@ -121,9 +121,20 @@ def _zoned(v: Any) -> Any:
     return v.astimezone() if isinstance(v, datetime.datetime) and v.tzinfo is None else v
 
 
+def _relaxed(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed inside, which a cast can't take away; ``_checked`` refuses them instead."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_relaxed(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _relaxed(kind.valueType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _relaxed(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 def _checked(c: ColumnSpec, x: Column) -> Column:
     def must(ok: Column, what: str) -> Column:
-        return F.when(ok, x).otherwise(F.raise_error(F.concat(F.lit(f"{c.name}: {what}: "), F.coalesce(x.cast("string"), F.lit("null")))).cast(c.data_type))
+        return F.when(ok, x).otherwise(F.raise_error(F.concat(F.lit(f"{c.name}: {what}: "), F.coalesce(x.cast("string"), F.lit("null")))).cast(_relaxed(c.data_type)))
 
     allowed = list(c.values) or enum_values(c.type)
     if allowed:
@@ -131,6 +142,8 @@ def _checked(c: ColumnSpec, x: Column) -> Column:
     span = bounds(c.type)
     if span and span[1] < 1 << 126:
         x = must(x.isNull() | x.between(F.lit(span[0]).cast(c.data_type) if span[0] == 0 else F.lit(span[0]), F.lit(span[1]).cast("decimal(38,0)")), "out of range")
+    if isinstance(c.data_type, T.ArrayType) and not c.data_type.containsNull:
+        x = must(x.isNull() | ~F.exists(x, lambda e: e.isNull()), "a null in an array that allows none")
     if not c.field().nullable:
         x = must(x.isNotNull(), "null in a column that allows none")
     return x

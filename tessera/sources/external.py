@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.engines import Engine
 from tessera.scratch import shared_dir
 from tessera.types import spark_type
 
@@ -127,6 +128,26 @@ def postgresql(spark: SparkSession, schema: str = "public", **where: Any) -> Dat
     return spark.read.format("jdbc").options(**jdbc_options("postgresql", **where)).load()
 
 
+def engine_options(engine: Engine) -> dict[str, str]:
+    """The JDBC reader's options of a table engine."""
+    rest = {k: str(v) for k, v in engine.options if k not in ("url", "table")}
+    return {"url": engine.option("url"), "dbtable": engine.option("table"), **rest}
+
+
+def of_engine(spark: SparkSession, engine: Engine, columns: Any = None) -> DataFrame:
+    """The rows behind a table of a File, URL, S3, PostgreSQL or MySQL engine."""
+    o = dict(engine.options)
+    if engine.name == "File":
+        return file(spark, o["path"], o["format"], columns)
+    if engine.name == "URL":
+        return url(spark, o["url"], o["format"], columns)
+    if engine.name == "S3":
+        return s3(spark, columns=columns, **o)
+    if engine.name in ("PostgreSQL", "MySQL"):
+        return spark.read.format("jdbc").options(**engine_options(engine)).load()
+    raise ValueError(f"{engine.name} tables hold their own rows")
+
+
 def values(spark: SparkSession, rows: list, structure: Any) -> DataFrame:
     return spark.createDataFrame(rows, schema_of(structure))
 

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tessera import catalog
+from tessera import catalog, catalog_functions, catalog_tables  # noqa: F401  the latter two fill the first
 
 
 @pytest.fixture(scope="module")

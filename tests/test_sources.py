@@ -242,3 +242,11 @@ def test_a_folder_that_all_share_is_needed_off_one_machine(spark):
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.shared_dir(fake)
     assert scratch.exists(spark, scratch.application_dir(spark))
+
+
+def test_arrays_without_nulls(spark, tmp_path):
+    spec = table("tagged", {"n": t.int32(), "tags": t.array(t.string())}, order_by="n", path=str(tmp_path / "tagged"))
+    dml.insert(spark, spec).values(spark.createDataFrame([(1, ["a"])], "n int, tags array<string>")).execute()
+    assert rows(spec.read(spark)) == [(1, ["a"])]
+    with pytest.raises(Exception, match="a null in an array"):
+        dml.insert(spark, spec).values(spark.createDataFrame([(1, ["a", None])], "n int, tags array<string>")).execute()
