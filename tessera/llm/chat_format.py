@@ -7,7 +7,7 @@ least total cost. The repaired turns are rendered with a template.
 
 Conversations are hash-distributed and stream through a task in order of their turns; a task holds one conversation at a
 time. Defined results: turns are ordered by (turn, role, text), nulls first; a null or unknown role is relabelled at
-``UNKNOWN``; a null text is empty; repeated rows are separate turns; a null conv_id is a conversation; ties prefer keeping,
+``UNKNOWN``; a null text is empty; ids may be numbers or text; other columns, whatever their names, are not read; repeated rows are separate turns; a null conv_id is a conversation; ties prefer keeping,
 then user, assistant, system, and merging to inserting; an empty table gives no rows.
 """
 
@@ -18,6 +18,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import map_arrow
 
@@ -92,12 +93,12 @@ _FIELDS = (("n_in", pa.int64()), ("n_out", pa.int64()), ("n_merged", pa.int64())
 _DDL = "n_in long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost double, turns array<struct<role:string,text:string>>, rendered string"
 
 
-def _format(template: str):
+def _format(template: str, kind: pa.DataType):
     def run(batches):
         ids, rows, current, turns = [], [], None, []
 
         def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[n] for r in rows], t) for n, t in _FIELDS)], names=["conv_id", *(n for n, _ in _FIELDS)])
+            out = pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array([r[n] for r in rows], t) for n, t in _FIELDS)], names=["conv_id", *(n for n, _ in _FIELDS)])
             ids.clear()
             rows.clear()
             return out
@@ -125,6 +126,7 @@ def _format(template: str):
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = TEMPLATE) -> DataFrame:
     """conv_id, n_in, n_out, n_merged, n_relabelled, n_inserted, cost, turns and rendered, one row a conversation."""
-    rows = turns.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).alias("t"), F.col(role_col).cast("string").alias("r"), F.col(text_col).cast("string").alias("x"))
+    kind = turns.schema[conv_col].dataType
+    rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(role_col).cast("string").alias("r"), F.col(text_col).cast("string").alias("x"))
     ordered = rows.repartition("c").sortWithinPartitions("c", "t", "r", "x")
-    return ordered.select("c", "r", "x").transform(map_arrow, _format(template), f"conv_id long, {_DDL}").withColumnRenamed("conv_id", conv_col)
+    return ordered.select("c", "r", "x").transform(map_arrow, _format(template, to_arrow_type(kind)), f"conv_id {kind.simpleString()}, {_DDL}").withColumnRenamed("conv_id", conv_col)

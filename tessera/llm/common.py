@@ -1,22 +1,22 @@
 """What the operators of this subpackage share: the shared scratch folder, written tables and sized broadcasts.
 
 Executors can be lost at any time, so lineage is cut only by tables written to the folder that the cluster names in
-``spark.checkpoint.dir``. Nothing is kept in a machine-local folder or in executor memory alone.
+``spark.checkpoint.dir``. Nothing is kept in a machine-local folder or in executor memory alone. Written tables go once their
+last reader has run, and at the latest with the driver.
 """
 
 from __future__ import annotations
 
 import contextlib
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera import shipping
+from tessera import scratch, shipping
+from tessera.scratch import scratch_path
 
 #: Rows of a key table (tens of bytes each) up to which it is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 400_000
@@ -27,19 +27,6 @@ BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and the shuffle files of the
     job that wrote it go at once instead of waiting for a collection of the driver's garbage."""
@@ -51,7 +38,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
+    return written(spark, path, df.schema)
+
+
+def written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table of a folder that ``discard`` may delete."""
+    out = spark.read.schema(_nullable(schema)).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again: what was made of them has been written itself."""
+    for df in tables:
+        if df is not None and getattr(df, "_written", None):
+            scratch.remove(df.sparkSession, df._written)
+            df._written = None
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -100,7 +102,13 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """The package for the executors, and a bound on the batches of texts that go to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """The package for the executors, and a bound on the batches of texts that go to Python: plans run later, so it stays
+    set, unless the session has one of its own."""
+    if getattr(spark.sparkContext, "_tessera_batches", False) or not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+        spark.sparkContext._tessera_batches = True
     shipping.ship(spark)

@@ -6,12 +6,14 @@ fingerprint. Equal windows have equal fingerprints, so a document need only look
 are about 2 / (width + 1) of its k-grams; each hit is extended to the windows around it, which are compared by the hash of
 all their words. Every shared span of ``SPAN`` words is found, none is sampled away.
 
-The index of the benchmark is split into blocks of ``INDEX_ROWS`` windows, each broadcast to one scan of the documents:
-what is broadcast is bounded, and a larger benchmark takes more scans instead of more memory.
+A benchmark of up to ``INDEX_ROWS`` windows goes to the executors as an index, and documents are scanned once. A larger one
+stays where it is: the documents' scan keeps the windows whose fingerprint is marked in a bitmap of fixed size, and these
+are joined to the benchmark's windows by all their words. Both ways give the same rows.
 
 Defined results: null or empty texts have no words and no hits; items without words have no windows; repeated items and
 items with equal ids count once; items with a null id mark words but are not listed; repeated documents get equal rows;
-an empty benchmark leaves every document clean; columns other than the id and the text are not read.
+an empty benchmark leaves every document clean, and no documents give no rows; columns other than the id and the text
+are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from pyspark.sql import functions as F
 from tessera.llm import kernel as K
 from tessera.llm.common import map_arrow, materialize, small, text_key, text_or_empty
 
-#: Words of a window, words of a k-gram, windows of the benchmark that are broadcast at once (about 40 bytes each).
+#: Words of a window, words of a k-gram, windows of a benchmark up to which it is broadcast (about 40 bytes each).
 SPAN, GRAM, INDEX_ROWS = 13, 5, 250_000
 
-_HITS, _COUNTED = "words array<int>, sizes array<int>, items array<string>", "n_hit long, items array<string>"
+#: Bits of the map of fingerprints by which a larger benchmark's candidates are told (16 MB).
+BITS = 1 << 27
+
+_COUNTED = "n_hit long, items array<string>"
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +105,8 @@ def _hits(w: np.ndarray, first: np.ndarray, index: dict[int, tuple]):
                 yield size, place[found], which[found]
 
 
-def _scan(index, listed: bool):
-    """key, n_words, and either the windows that occur or the number of words that they cover, and their items."""
+def _scan(index):
+    """key, n_words, the number of words that occurring windows cover, and their items."""
 
     def run(batches):
         table = index.value
@@ -120,12 +125,8 @@ def _scan(index, listed: bool):
                         sizes[r].append(size)
                         items[r].update(named[k])
                 named_items = pa.array([sorted(s) for s in items], pa.list_(pa.string()))
-                start = [batch.column(0).slice(lo, n), pa.array(np.diff(first), pa.int64())]
-                if listed:
-                    yield pa.RecordBatch.from_arrays([*start, pa.array(begin, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), named_items], names=["key", "n_words", "words", "sizes", "items"])
-                else:
-                    hit = [_cover(b, s) for b, s in zip(begin, sizes, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*start, pa.array(hit, pa.int64()), named_items], names=["key", "n_words", "n_hit", "items"])
+                hit = [_cover(b, s) for b, s in zip(begin, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(np.diff(first), pa.int64()), pa.array(hit, pa.int64()), named_items], names=["key", "n_words", "n_hit", "items"])
 
     return run
 
@@ -134,12 +135,71 @@ def _cover(begin: list[int], sizes: list[int]) -> int:
     return len(np.unique(K.ranges(np.array(begin, np.int64), np.array(sizes, np.int64)))) if begin else 0
 
 
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """One bit for each of ``BITS`` values of a fingerprint's lowest bits: set if a window has such a fingerprint."""
+    low = windows.select((F.col("fingerprint").bitwiseAND(F.lit(BITS - 1)) + 1).alias("f"))
+    parts = low.groupBy(F.bitmap_bucket_number("f").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("f")).alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in parts.collect():  # BITS / 8 bytes at most
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["k"] - 1) * len(bits) : r["k"] * len(bits)] = bits
+    return out
+
+
+def _candidates(shared):
+    """key, n_words, and the windows whose fingerprint may be the benchmark's: size, hash of all words, first word."""
+
+    def run(batches):
+        bits, spans = shared.value
+        for batch in batches:
+            for lo, hi, data, off in K.chunks(batch.column(1)):
+                w, first = _words(data, off)
+                n = hi - lo
+                end = np.repeat(first[1:], np.diff(first))
+                found: list[tuple] = []
+                for size in spans:
+                    gram = min(GRAM, size)
+                    least = K.window_min(K.grams(w, gram), size - gram + 1)
+                    if not len(least):
+                        continue
+                    turns = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+                    at = (least[turns] & K.U64(BITS - 1)).astype(np.int64)
+                    known = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                    place = K.ranges(turns[known], np.diff(np.append(turns, len(least)))[known])
+                    place = place[place + size <= end[place]]
+                    found.append((np.full(len(place), size, np.int32), _at(w, place, size), place))
+                size, whole, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, K.U64), np.zeros(0, np.int64))
+                order = np.argsort(place, kind="stable")
+                row = np.searchsorted(first, place[order], "right") - 1
+                edge = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edge, pa.array(v)) for v in (size[order], whole[order].view(np.int64), (place[order] - first[row]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(np.diff(first), pa.int64()), *lists], names=["key", "n_words", "sizes", "windows", "places"])
+
+    return run
+
+
 def _covered(batches):
-    """Adds the number of distinct words that the windows cover."""
+    """The number of distinct words that a document's windows cover."""
     for batch in batches:
-        words, sizes = batch.column("words"), batch.column("sizes")
-        hit = [_cover(b.as_py() or [], s.as_py() or []) for b, s in zip(words, sizes, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("items")], names=["key", "n_words", "n_hit", "items"])
+        hit = [_cover([h["place"] for h in hits.as_py()], [h["size"] for h in hits.as_py()]) for hits in batch.column("hits")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hit, pa.int64())], names=["key", "n_hit"])
+
+
+def _joined(rows: DataFrame, windows: DataFrame, kind: str) -> DataFrame:
+    """key (of type ``kind``), n_words, n_hit, items of every row (key, text), by joins: for benchmarks of any size."""
+    spark = rows.sparkSession
+    spans = sorted(r["size"] for r in windows.select("size").distinct().collect())  # SPAN at most
+    shared = spark.sparkContext.broadcast((_bitmap(windows), spans))
+    seen = materialize(rows.transform(map_arrow, _candidates(shared), f"key {kind}, n_words long, sizes array<int>, windows array<long>, places array<int>"), "benchmark-candidates")
+    each = seen.where(F.size("windows") > 0).select("key", F.explode(F.arrays_zip("sizes", "windows", "places")).alias("c"))
+    each = each.select("key", F.col("c.sizes").alias("size"), F.col("c.windows").alias("window"), F.col("c.places").alias("place"))
+    hits = materialize(each.join(windows.select("size", "window").distinct(), ["size", "window"], "left_semi").distinct(), "benchmark-hits")
+    cover = hits.groupBy("key").agg(F.collect_list(F.struct("place", "size")).alias("hits")).transform(map_arrow, _covered, f"key {kind}, n_hit long")
+    named = hits.select("key", "size", "window").distinct().join(windows.where("item is not null").select("size", "window", "item"), ["size", "window"])
+    named = named.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = cover.join(named, cover["key"].eqNullSafe(named["key"]), "left").select(cover["key"].alias("_k"), "n_hit", "items")
+    out = seen.select("key", "n_words").join(both, F.col("key").eqNullSafe(F.col("_k")), "left")
+    return out.select("key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
@@ -148,29 +208,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     windows = benchmark.select(F.col(item_col).cast("string"), text_or_empty(item_text)).transform(map_arrow, _windows, "size int, fingerprint long, window long, item string")
     windows = materialize(windows.distinct(), "benchmark-windows")
-    blocks = max(1, -(-windows.count() // INDEX_ROWS))
     kind = docs.schema[id_col].dataType.simpleString()
-    key = F.col(id_col) if blocks == 1 else F.struct(F.col(id_col), F.unhex(F.sha2(text_or_empty(text_col), 256)))
-    if blocks > 1:
-        kind = f"struct<{id_col}:{kind},digest:binary>"
-    scans = []
-    for k in range(blocks):
-        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(_index([tuple(r) for r in part.collect()]))
-        scans.append(docs.select(key.alias("key"), text_or_empty(text_col)).transform(map_arrow, _scan(index, blocks > 1), f"key {kind}, n_words long, {_HITS if blocks > 1 else _COUNTED}"))
-    if blocks == 1:
-        out = scans[0].withColumnRenamed("key", id_col)
+    if windows.count() <= INDEX_ROWS:
+        index = spark.sparkContext.broadcast(_index([tuple(r) for r in windows.collect()]))
+        out = docs.select(F.col(id_col), text_or_empty(text_col)).transform(map_arrow, _scan(index), f"{id_col} {kind}, n_words long, {_COUNTED}")
     else:
-        found = [materialize(s.where(F.size("words") > 0).distinct(), "benchmark-hits") for s in scans]
-        merged = found[0]
-        for f in found[1:]:
-            merged = merged.unionByName(f)
-        merged = merged.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("words")).alias("words"), F.flatten(F.collect_list("sizes")).alias("sizes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merged = merged.transform(map_arrow, _covered, f"key {kind}, n_words long, n_hit long, items array<string>").drop("n_words")
-        empty = spark.sparkContext.broadcast({})
-        every = docs.select(key.alias("key"), text_or_empty(text_col)).transform(map_arrow, _scan(empty, False), f"key {kind}, n_words long, {_COUNTED}").select("key", "n_words")
-        out = every.join(merged.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")), "left")
-        out = out.select(F.col("key")[id_col].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        # Rows of one id may have different texts.
+        keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("digest")).alias("key"), text_or_empty(text_col))
+        out = _joined(keyed, windows, f"struct<id:{kind},digest:binary>").select(F.col("key.id").alias(id_col), "n_words", "n_hit", "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

@@ -1,15 +1,15 @@
 """Operator 10, language identification of spans.
 
 Training counts hashed byte trigrams (with word boundaries) and scripts of every word of all training texts, by language.
-A word's score for a language is the log probability of its trigrams; the script ranges of its letters leave only the
-languages that were seen in that script. Viterbi over a text's words, with a penalty for each switch, labels spans; the
+A word's score for a language is the log probability of its trigrams; the script ranges of its letters (ranges of code
+points; of several, the one that comes later in ``SCRIPT_NAMES``) leave only the languages that were seen in that script. Viterbi over a text's words, with a penalty for each switch, labels spans; the
 language of most labelled bytes is the text's, and its share of them the score.
 
 The model has ``BUCKETS`` counts a language, whatever the input's size, so it is broadcast. Texts of a group step through
 Viterbi together; a text of any length is labelled whole.
 
 Defined results: null, empty and letterless texts -> ``und`` with score 0 and no spans; training rows with a null id, text
-or language teach nothing; with nothing learnt every text is ``und``; ties go to the language that sorts first; repeated
+or language teach nothing; with nothing learnt every text is ``und``; an empty table gives no rows; ties go to the language that sorts first; repeated
 rows get equal rows; other columns are not read.
 """
 
@@ -29,12 +29,37 @@ SWITCH, SMOOTH, SCRIPT_SHARE = 20.0, 0.5, 0.005
 #: Bytes of text whose words step through Viterbi together, for four languages.
 GROUP = 16 << 20
 
-# Scripts by the first byte of a character in UTF-8 (0 Latin, 1 Greek, 2 Cyrillic, 3 Armenian and Hebrew,
-# 4 Arabic and Syriac, 5 Indic and South-East Asian, 6 Georgian, Khmer and others, 7 kana, 8 Han, 9 Hangul, 10 the rest).
-SCRIPTS = 11
-_SCRIPT = np.zeros(256, np.uint8)
-for _first, _last, _name in ((0xCD, 0xCF, 1), (0xD0, 0xD4, 2), (0xD5, 0xD7, 3), (0xD8, 0xDF, 4), (0xE0, 0xE0, 5), (0xE1, 0xE1, 6), (0xE2, 0xE2, 0), (0xE3, 0xE3, 7), (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xEE, 0xF4, 10)):
-    _SCRIPT[_first : _last + 1] = _name
+# The first code points of ranges of scripts, each up to the next.
+_RANGES = (
+    (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"), (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"), (0x0800, "other"), (0x0860, "Syriac"), (0x0870, "Arabic"),
+    (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Oriya"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"), (0x0E00, "Thai"), (0x0E80, "Lao"),
+    (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Cherokee"), (0x1400, "other"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "other"), (0x1C80, "Cyrillic"), (0x1C90, "Georgian"), (0x1CC0, "other"),
+    (0x1D00, "Latin"), (0x1F00, "Greek"), (0x2000, "Latin"), (0x2C00, "other"), (0x2C60, "Latin"), (0x2C80, "other"), (0x2D00, "Georgian"), (0x2D30, "other"), (0x2D80, "Ethiopic"), (0x2DE0, "Cyrillic"), (0x2E00, "Latin"), (0x2E80, "Han"), (0x3000, "Latin"),
+    (0x3040, "Kana"), (0x3100, "Bopomofo"), (0x3130, "Hangul"), (0x3190, "Han"), (0x31F0, "Kana"), (0x3200, "Han"), (0xA000, "other"), (0xA640, "Cyrillic"), (0xA6A0, "other"), (0xA700, "Latin"), (0xA800, "other"), (0xA8E0, "Devanagari"), (0xA900, "other"), (0xA960, "Hangul"),
+    (0xA980, "other"), (0xAB30, "Latin"), (0xAB70, "other"), (0xAC00, "Hangul"), (0xD800, "other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, "Latin"), (0xFE70, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"),
+    (0xFFA0, "Hangul"), (0xFFE0, "other"), (0x1B000, "Kana"), (0x1B170, "other"), (0x20000, "Han"), (0x32000, "other"),
+)
+#: Latin, marks and signs that every script uses come first.
+SCRIPT_NAMES = tuple(dict.fromkeys(name for _, name in _RANGES))
+SCRIPTS = len(SCRIPT_NAMES)
+_FIRST = np.array([first for first, _ in _RANGES])
+_SCRIPT = np.array([SCRIPT_NAMES.index(name) for _, name in _RANGES], np.uint8)
+
+
+def scripts(data: np.ndarray) -> np.ndarray:
+    """The script of every character, at its first byte; Latin's number, the least, at all others."""
+    out = np.zeros(len(data), np.uint8)
+    far = np.flatnonzero(data >= 0xC3)  # two bytes up to U+00BF are signs
+    if not len(far):
+        return out
+    lead = data[far].astype(np.int32)
+    next_ = lambda k: data[np.minimum(far + k, len(data) - 1)].astype(np.int32) & 0x3F
+    two = (lead & 0x1F) << 6 | next_(1)
+    three = (lead & 0x0F) << 12 | next_(1) << 6 | next_(2)
+    four = (lead & 0x07) << 18 | next_(1) << 12 | next_(2) << 6 | next_(3)
+    point = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+    out[far] = _SCRIPT[np.searchsorted(_FIRST, point, "right") - 1]
+    return out
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -58,7 +83,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     left[begin] = 0
     right[begin + size - 1] = 0
     code = ((left << np.uint32(16)) | (mid << np.uint32(8)) | right) * np.uint32(0x9E3779B1)
-    script = np.maximum.reduceat(_SCRIPT[data[at]], begin) if len(begin) else np.zeros(0, np.uint8)
+    script = np.maximum.reduceat(scripts(data)[at], begin) if len(begin) else np.zeros(0, np.uint8)
     return (code >> np.uint32(17)).astype(np.int32), begin, script
 
 

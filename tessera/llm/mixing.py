@@ -10,11 +10,13 @@ left half's blocks of each source drawn from a multivariate hypergeometric distr
 source stay exact and no block is drawn twice. Each shard then draws the next blocks of each source's permutation and
 shuffles its documents locally, by a hash of document and pass.
 
-Only counts by source and by block reach the driver or one task; documents move as (id, source, size, hash), never texts. A
-hot source is spread over its blocks. Every choice is a function of seed and content, so reruns agree.
+A row for each source reaches the driver (about 200 bytes; tables of them are broadcast up to the usual number of rows); counts
+by block stay in the cluster, and documents move as (id, source, size, hash), never texts. A hot source is spread over its
+blocks. Every choice is a function of seed and content, so reruns agree.
 
 Defined results: null texts have size 0; size 0 takes 0; null is a source of its own, the last; repeated rows are separate
-documents, which tie in the permutation and may go together; empty tables give no rows; other columns are not read.
+documents, which tie in the permutation: as many of them go as fit; empty tables give no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, ship, text_or_empty
+from tessera.llm.common import materialize, ship, small, text_or_empty
 
-MOST, BLOCK_ROWS, SHARDS, SEED = 3, 1024, 16, 7
+#: Most times that a source's size is taken, rows of a block, blocks of a stretch, output shards, seed of the permutation.
+MOST, BLOCK_ROWS, STRETCH, SHARDS, SEED = 3, 1024, 1024, 16, 7
 WEIGHTS = (1, 2, 3)
 
 
@@ -75,36 +78,39 @@ def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 
 
 def _fitting(block: pa.Table) -> pa.Table:
-    """The block where a source's target falls, with the documents that the partial pass takes: in permuted order every
-    one that leaves the sum within what remains of the target, then one more if that comes nearer."""
+    """The block where a source's target falls, as kinds of equal documents with their numbers: how many of each the partial
+    pass takes. In permuted order every one that leaves the sum within what remains of the target, then one more if that
+    comes nearer."""
     block = block.sort_by([("_h", "ascending"), ("size", "ascending"), ("_id", "ascending")])
     left = block["rest"][0].as_py() - block["_before"][0].as_py()
     taken, over = [], None
-    for i, size in enumerate(block["size"].to_pylist()):
-        fits = 0 < size <= left
+    for i, (size, times) in enumerate(zip(block["size"].to_pylist(), block["times"].to_pylist(), strict=True)):
+        fits = min(times, int(left // size)) if size and left >= size else 0
         taken.append(fits)
-        if fits:
-            left -= size
-        elif size and (over is None or size < over[0]):
+        left -= fits * size
+        if size and fits < times and (over is None or size < over[0]):
             over = (size, i)
     if over and over[0] - left < left:
-        taken[over[1]] = True
-    return block.append_column("last", pa.array(taken, pa.bool_()))
+        taken[over[1]] += 1
+    return block.append_column("takes", pa.array(taken, pa.int64()))
 
 
-def sizes_of(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def sizes_of(docs: DataFrame, id_col: str, source_col: str, text_col: str, keep: bool = False) -> DataFrame:
     text = text_or_empty(text_col)
     size = F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
     # The hash of the content orders rows with equal ids.
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("size"), F.xxhash64(F.lit(SEED), F.col(id_col), text).alias("_h"))
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("size"), F.xxhash64(F.lit(SEED), F.col(id_col), text).alias("_h"), *row)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = SHARDS, block_rows: int = BLOCK_ROWS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = SHARDS, block_rows: int = BLOCK_ROWS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, keep: bool = False) -> DataFrame:
     """For every row its id, source, size, source_size, target, taken, and draws: an array of (shard, pass, position), one
-    for each time that the mix takes the document; a shard is read in order of position."""
+    for each time that the mix takes the document; a shard is read in order of position. With ``keep`` all columns of
+    ``docs`` come first, and those of the mix that would clash with them have the prefix ``mix_``."""
     spark = docs.sparkSession
     ship(spark)
-    rows = materialize(sizes_of(docs, id_col, source_col, text_col), "mix-sizes")
+    rows = materialize(sizes_of(docs, id_col, source_col, text_col, keep), "mix-sizes")
+    carried = ["_row"] if keep else []
     sums = rows.groupBy("_source").agg(F.sum("size").alias("total"), F.count("*").alias("n")).collect()
     # By code point, which is the order of UTF-8 bytes; null last.
     sums.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode()))
@@ -115,14 +121,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         passes = min(passes, most)
         rest = goal[i] - passes * r["total"] if r["total"] else 0.0
         plan.append((r["_source"], i, r["total"], goal[i], passes, float(max(rest, 0.0)), -(-r["n"] // block_rows)))
+    of_source = lambda df: small(df, len(plan))  # noqa: E731  a table of at most one row a source
     sources = spark.createDataFrame(plan, "_s string, s int, source_size long, target double, passes int, rest double, blocks long")
-    keyed = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_s")))
+    keyed = rows.join(of_source(sources), F.col("_source").eqNullSafe(F.col("_s")))
     # A block is a range of the permutation's hash, taken as an unsigned share of its source's blocks.
     share = (F.shiftrightunsigned("_h", 11)).cast("double") / F.lit(float(1 << 53))
     keyed = keyed.withColumn("block", F.least(F.floor(share * F.col("blocks")), F.col("blocks") - 1).cast("long"))
     cells = keyed.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.first("blocks").alias("blocks"))
-    before = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    # Words before a block: of the stretches before its own, and of the blocks before it in its stretch.
+    cells = materialize(cells.withColumn("stretch", F.floor(F.col("block") / STRETCH)), "mix-cells")
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = cells.groupBy("s", "stretch").agg(F.sum("words").alias("w")).withColumn("ahead", F.coalesce(F.sum("w").over(upto(["s"], "stretch")), F.lit(0))).drop("w")
+    before = F.col("ahead") + F.coalesce(F.sum("words").over(upto(["s", "stretch"], "block")), F.lit(0))
+    cells = cells.join(earlier, ["s", "stretch"]).withColumn("before", before)
     cells = materialize(cells.select("s", "block", "words", "before", "rest", "passes", "blocks"), "mix-blocks")
     cells = cells.withColumn("state", F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0))
     # Blocks of a source in all its passes: passes times all of them, then those of the partial pass.
@@ -133,18 +144,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     shard_of = spark.createDataFrame([(i, e) for i, e in enumerate(edges)], "_s2 int, edges array<long>")
     cut = cells.where(F.col("state") == 1).select(F.col("s").alias("_cs"), F.col("block").alias("_cb"), F.col("before").alias("_before"))
     full = cells.where(F.col("state") == 2).groupBy("s").agg(F.max("block").alias("_full")).select(F.col("s").alias("_fs"), "_full")
-    # At most one block a source is cut: its documents go one by one, each that still fits.
-    edge = keyed.join(F.broadcast(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")))
-    edge = edge.groupBy("s").applyInArrow(_fitting, T.StructType([*edge.schema.fields, T.StructField("last", T.BooleanType())]))
-    out = keyed.join(F.broadcast(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")), "left_anti").join(F.broadcast(full), F.col("s") == F.col("_fs"), "left")
+    # At most one block a source is cut: its documents go one by one, each that still fits; equal ones are counted first.
+    edge = keyed.join(of_source(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")))
+    kinds = edge.groupBy("s", "_h", "_id", "size", "rest", "_before").agg(F.count("*").alias("times"))
+    kinds = materialize(kinds.groupBy("s").applyInArrow(_fitting, T.StructType([*kinds.schema.fields, T.StructField("takes", T.LongType())])), "mix-edge")
+    kinds = kinds.select(F.col("s").alias("_es"), F.col("_h").alias("_eh"), F.col("_id").alias("_ei"), F.col("size").alias("_ez"), "times", "takes")
+    same = (F.col("s") == F.col("_es")) & (F.col("_h") == F.col("_eh")) & F.col("_id").eqNullSafe(F.col("_ei")) & (F.col("size") == F.col("_ez"))
+    columns = ["_id", "_source", "size", "source_size", "target", "passes", "blocks", "s", "block", "last", "_h", *carried]
+    some = (F.col("takes") > 0) & (F.col("takes") < F.col("times"))
+    whole = edge.join(small(kinds.where(~some)), same).withColumn("last", F.col("takes") > 0).select(*columns)
+    # Of equal documents any will do.
+    rank = F.row_number().over(Window.partitionBy("s", "_h", "_id", "size").orderBy("_h"))
+    part = edge.join(small(kinds.where(some)), same).withColumn("last", rank <= F.col("takes")).select(*columns)
+    out = keyed.join(of_source(cut), (F.col("s") == F.col("_cs")) & (F.col("block") == F.col("_cb")), "left_anti").join(of_source(full), F.col("s") == F.col("_fs"), "left")
     out = out.withColumn("last", F.coalesce(F.col("block") <= F.col("_full"), F.lit(False)) & (F.col("rest") > 0))
-    columns = ["_id", "_source", "size", "source_size", "target", "passes", "blocks", "s", "block", "last", "_h"]
-    both = out.select(*columns).unionByName(edge.select(*columns)).join(F.broadcast(shard_of), F.col("s") == F.col("_s2"))
+    both = out.select(*columns).unionByName(whole).unionByName(part).join(of_source(shard_of), F.col("s") == F.col("_s2"))
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("last").cast("int")).otherwise(F.lit(0))
     number = lambda p: p * F.col("blocks") + F.col("block")  # noqa: E731  of a pass's block among all the source's
     draw = lambda p: F.struct(F.size(F.filter("edges", lambda e: e <= number(p))).alias("shard"), p.cast("int").alias("pass"), F.xxhash64(F.lit(SEED), "_h", p).alias("position"))
     draws = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), draw)).otherwise(F.array().cast("array<struct<shard:int,pass:int,position:bigint>>"))
-    return both.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size", "target", (F.col("size") * times).alias("taken"), draws.alias("draws"))
+    made = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("size") * times, "draws": draws}
+    if keep:
+        return both.select("_row.*", *[c.alias(f"mix_{n}" if n in docs.columns else n) for n, c in made.items()])
+    return both.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), *[c.alias(n) for n, c in made.items()])
 
 
 def shard_rows(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

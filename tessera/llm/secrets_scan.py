@@ -7,8 +7,9 @@ is least; if even that split needs ``GUESSES`` guesses (as a power of ten) the v
 are; a value that one base span covers wholly is not added again, one that reaches beyond it is. A value of any length is
 scored whole, in time proportional to its length.
 
-Defined results: null or empty text -> no spans; repeated rows -> equal rows; other columns are not read. Spans are in
-code points, the end exclusive.
+Defined results: null or empty text -> no spans; repeated rows -> equal rows; spans that start together come in the order
+of their kinds; an empty table -> no rows; other columns, whatever their names, are not read. Spans are in code points, the
+end exclusive.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth)[_-]?key|credentials?|bearer|authorization)[\"']?"
+# A value of fewer than six characters stays below the limit, whatever they are.
 # After a scheme a name with its own separator begins a context, not a value; before, a name alone does not hide its value.
 _SCHEME = rf"[\x20\t]+[\"']?(?!{_NAMES}[\x20\t]*(?:[:=]|\x20is\x20))"
 _ALONE = rf"(?!{_NAMES}(?:[:=]>?[\x20\t]|[\x20\t]+[:=]|[\x20\t]*\x20is\x20))"
@@ -51,7 +53,6 @@ _RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 _NEXT = {(a, b) for row in WALKS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:[0-2]?\d|3[01])|(?:[0-2]?\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
-_REPEAT = 16
 
 
 def _brute(c: str) -> float:
@@ -79,9 +80,11 @@ class _Starts:
         return low
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation. Every word, date, walk of three keys or more and repeat of a unit of
-    up to ``_REPEAT`` characters is a segment, wherever it begins and ends."""
+def guess_cost(value: str, limit: float = GUESSES) -> float:
+    """log10 of the guesses of the cheapest segmentation. Every word, date, walk of three keys or more and repeat is a segment,
+    wherever it begins and ends. A unit of so many characters costs as much, so repeats of units that alone reach the
+    ``limit`` are left out: the result is exact below the limit, and not below it where the cost isn't; time is linear for any
+    finite limit."""
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
@@ -91,7 +94,7 @@ def guess_cost(value: str) -> float:
     two, walk = math.log10(2), math.log10(len(WALKS) * 26 * 2)
     best = [0.0] + [math.inf] * n
     walks = {1: (_Starts(), 0), -1: (_Starts(), 0)}
-    units = range(1, min(_REPEAT, n // 2) + 1)
+    units = range(1, int(min(n // 2, math.ceil(limit) - 1 if limit < math.inf else n)) + 1)
     runs = dict.fromkeys(units, 0)
     repeats = {unit: [_Starts() for _ in range(unit)] for unit in units}
     for j in range(n + 1):
@@ -139,10 +142,13 @@ def scan_text(text: str) -> list[tuple[int, int, int, int]]:
         found += [(m.start(), 1, m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
     if hints:
-        base = list(found)
+        base, reach, k = sorted(found), 0, 0
         for m in _CONTEXT.finditer(text):
             s, e = m.span(1)
-            if not any(b[0] <= s and e <= b[2] for b in base) and guess_cost(m[1]) >= GUESSES:
+            while k < len(base) and base[k][0] <= s:  # both in order: how far the spans that begin by here reach
+                reach = max(reach, base[k][2])
+                k += 1
+            if e > reach and guess_cost(m[1]) >= GUESSES:
                 found.append((s, 3, e, s))
     return sorted(found)
 
