@@ -1,6 +1,10 @@
 """The documents of a training corpus, cleaned and mixed: each stage takes what the one before it kept.
 
-``run`` writes every stage's documents as Parquet to the folder that the cluster shares, and reads them again.
+``run`` writes every stage's documents as Parquet to the folder that the cluster shares, and reads them again. The result has
+the whole documents: their columns as cleaned and masked, then what the mix takes of them.
+
+Defined results: null and empty texts are clean, apart and of size 0, so they pass all stages; of equal rows one stays; an
+empty table gives no rows; other columns, whatever their names, go along. A missing benchmark item, label or secret is none.
 """
 
 from __future__ import annotations
@@ -39,9 +43,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's words in the mix, and its draws: the shard, pass and position of every time it is taken."""
-    out = mixing.mix(docs)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "draws")
+    """The documents with their words in the mix, and their draws: the shard, pass and position of every time one is taken."""
+    return mixing.mix(docs, keep=True)
 
 
 STAGES = [
