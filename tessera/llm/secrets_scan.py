@@ -49,8 +49,17 @@ WORDS += tuple(
 # Rows of keys and the two alphabets that walks follow.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+
+
+def ranked(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
+    """log10 of the guesses of each word, the most common first, and the length of the longest."""
+    ranks: dict[str, float] = {}
+    for w in words:
+        ranks.setdefault(w.lower(), math.log10(len(ranks) + 2))
+    return ranks, max(map(len, ranks), default=0)
+
+
+_RANKED = ranked(WORDS)
 _NEXT = {(a, b) for row in WALKS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:[0-2]?\d|3[01])|(?:[0-2]?\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
 
@@ -80,11 +89,12 @@ class _Starts:
         return low
 
 
-def guess_cost(value: str, limit: float = GUESSES) -> float:
+def guess_cost(value: str, limit: float = GUESSES, dictionary: tuple[dict[str, float], int] = _RANKED) -> float:
     """log10 of the guesses of the cheapest segmentation. Every word, date, walk of three keys or more and repeat is a segment,
     wherever it begins and ends. A unit of so many characters costs as much, so repeats of units that alone reach the
     ``limit`` are left out: the result is exact below the limit, and not below it where the cost isn't; time is linear for any
     finite limit."""
+    ranks, longest = dictionary
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
@@ -119,9 +129,9 @@ def guess_cost(value: str, limit: float = GUESSES) -> float:
                 starts = repeats[unit][j % unit]
                 starts.at.append((i, best[i]))
                 best[j] = min(best[j], starts.cheapest(j) - math.log10(unit) + bulk[j] - bulk[j - unit] + two)
-        for size in range(3, min(_LONGEST, n - j) + 1):
-            if (word := low[j : j + size]) in _RANK:
-                cost = _RANK[word] + (0.0 if value[j : j + size] == word else math.log10(2 + size))
+        for size in range(3, min(longest, n - j) + 1):
+            if (word := low[j : j + size]) in ranks:
+                cost = ranks[word] + (0.0 if value[j : j + size] == word else math.log10(2 + size))
                 best[j + size] = min(best[j + size], best[j] + cost + two)
         for size in (4, 6, 7, 8, 9, 10) if j < n and value[j] in "0123456789" else ():
             if j + size <= n and _DATE.fullmatch(value, j, j + size):
@@ -130,7 +140,7 @@ def guess_cost(value: str, limit: float = GUESSES) -> float:
     return best[n]
 
 
-def scan_text(text: str) -> list[tuple[int, int, int, int]]:
+def scan_text(text: str, dictionary: tuple[dict[str, float], int] = _RANKED) -> list[tuple[int, int, int, int]]:
     """(start, number of the kind, end, start of the secret value) in order."""
     low = text.lower()
     found = []
@@ -148,33 +158,38 @@ def scan_text(text: str) -> list[tuple[int, int, int, int]]:
             while k < len(base) and base[k][0] <= s:  # both in order: how far the spans that begin by here reach
                 reach = max(reach, base[k][2])
                 k += 1
-            if e > reach and guess_cost(m[1]) >= GUESSES:
+            if e > reach and guess_cost(m[1], GUESSES, dictionary) >= GUESSES:
                 found.append((s, 3, e, s))
     return sorted(found)
 
 
-def _scan(batches):
+def _scan(dictionary):
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64())])
-    for batch in batches:
-        ids, out = batch.column(0), []
-        for text in batch.column(1):
-            t = text.as_py()
-            out.append([{"kind": KINDS[k], "start": s, "end": e, "value_start": v} for s, k, e, v in scan_text(t)] if t else [])
-        yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(item))], names=["id", "spans"])
+
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column(0), []
+            for text in batch.column(1):
+                t = text.as_py()
+                out.append([{"kind": KINDS[k], "start": s, "end": e, "value_start": v} for s, k, e, v in scan_text(t, dictionary)] if t else [])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(item))], names=["id", "spans"])
+
+    return run
 
 
 _SPANS = "spans array<struct<kind:string,start:long,end:long,value_start:long>>"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and spans (kind, start, end, value_start), by start and kind, for every row of ``docs``."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] = WORDS) -> DataFrame:
+    """id and spans (kind, start, end, value_start), by start and kind, for every row of ``docs``. ``words`` is the dictionary
+    of guesses, most common first, such as a list of leaked passwords or a corpus's own most common words."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).transform(map_arrow, _scan, f"id {kind}, {_SPANS}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).transform(map_arrow, _scan(ranked(words)), f"id {kind}, {_SPANS}").withColumnRenamed("id", id_col)
 
 
-def redact(text: str, mask: str) -> str:
+def redact(text: str, mask: str, dictionary: tuple[dict[str, float], int] = _RANKED) -> str:
     parts, at = [], 0
-    for begin, end in sorted((v, e) for _, _, e, v in scan_text(text)):
+    for begin, end in sorted((v, e) for _, _, e, v in scan_text(text, dictionary)):
         if end <= at:
             continue
         if begin > at or not parts:  # adjoining spans share a mask
@@ -183,14 +198,14 @@ def redact(text: str, mask: str) -> str:
     return "".join(parts) + text[at:] if parts else text
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", words: tuple[str, ...] = WORDS) -> DataFrame:
     """``docs`` with the secret values of the text masked: of an assignment its value, of other kinds the whole span.
     Null texts stay null, and texts without secrets are unchanged."""
-    place = docs.columns.index(text_col)
+    place, dictionary = docs.columns.index(text_col), ranked(words)
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([redact(t, mask) if t else t for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
+            texts = pa.array([redact(t, mask, dictionary) if t else t for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), texts)
 
     return docs.transform(map_arrow, run, docs.schema)

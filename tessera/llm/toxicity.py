@@ -2,16 +2,16 @@
 
 Voters are lexicon entries and patterns: the fixed lexicon below, whole words and word beginnings that are over-represented
 in documents labelled toxic, and patterns of shouting, punctuation, address and disguised spelling. A generative label
-model (class-conditional firing rates, fitted by expectation-maximisation together with the noise of the given labels)
-yields posterior labels; correlations of the voters within a class discount those that fire together. A linear classifier
-is trained on the posterior labels and scores whole texts.
+model (class-conditional firing rates and correlations of the voters, fitted by expectation-maximisation together with the
+noise of the given labels) yields posterior labels; voters that fire together within a class are discounted for it. A linear
+classifier is trained on the posterior labels and scores whole texts.
 
 The fit takes at most ``FIT_ROWS`` labelled documents of each label, those with the least hash of their id, and keeps at
 most ``VOTERS`` voters; everything that reaches the driver is bounded by these two. Scoring reads every text whole.
 
 Defined results: null and empty texts are scored (by the intercept); without any labelled document, or with one label
 only, the score is the constant share of toxic labels (0 if there is none); rows with a null id are never learnt from;
-repeated rows get equal scores; other columns are not read.
+repeated rows get equal scores; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -148,27 +148,29 @@ def _votes(shared):
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior of the toxic class for each row, and the model: firing rates by class, trust in the given labels, and
-    each voter's discount for its correlations. All rates are estimated with the rows' weights."""
+    """Posterior of the toxic class for each row, and the model: firing rates by class, trust in the given labels, the voters'
+    correlations within the classes and each voter's discount for them. Everything is estimated anew in every round, from
+    the posterior of the round before and with the rows' weights."""
     share = np.average(gold, weights=weight)
     post = np.where(gold > 0, 0.95, 0.05 * share + 1e-6)
     v = votes.astype(np.float64)
     discount = np.ones(v.shape[1])
-    rates, trust = np.zeros((2, v.shape[1])), np.zeros(2)
+    rates, trust, together = np.zeros((2, v.shape[1])), np.zeros(2), np.eye(v.shape[1])
     for k in range(rounds):
         for c, p in enumerate((1 - post, post)):
             w = weight * p
             rates[c] = (w @ v + 0.1 * weight.mean()) / (w.sum() + weight.mean())
             trust[c] = np.clip((w @ gold + weight.mean() * share) / (w.sum() + weight.mean()), 1e-3, 1 - 1e-3)
-        if k == 5:
-            discount = 1 / np.maximum(1, _correlations(v, post, rates, weight).sum(axis=1))
+        if k:  # the first posterior is a guess
+            together = _correlations(v, post, rates, weight)
+            discount = 1 / np.maximum(1, together.sum(axis=1))
         prior = np.clip(np.average(post, weights=weight), 1e-4, 1 - 1e-4)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
         fire, quiet = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
         odds = np.log(prior / (1 - prior)) + (v * (fire - quiet) + quiet) @ discount
         odds += np.where(gold > 0, np.log(trust[1] / trust[0]), np.log((1 - trust[1]) / (1 - trust[0])))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, {"rates": rates, "trust": trust, "discount": discount, "prior": prior}
+    return post, {"rates": rates, "trust": trust, "correlations": together, "discount": discount, "prior": prior}
 
 
 def _correlations(v: np.ndarray, post: np.ndarray, rates: np.ndarray, weight: np.ndarray) -> np.ndarray:

@@ -55,8 +55,10 @@ def test_near_duplicates(spark, awkward):
     assert rows(near_dedup.near_duplicates(frame(spark, awkward))) == collections.Counter(brute.near(awkward))
 
 
-def test_families_that_share_much(spark):
-    """Components that meet in one rare shingle each, and links between them that only the prefixes find."""
+@pytest.mark.parametrize("few", [0, 16])
+def test_families_that_share_much(spark, few, monkeypatch):
+    """Components that meet in one rare shingle each; with 0 all links between them come from the prefixes."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
     rnd = random.Random(12)
     common = [f"c{i}" for i in range(60)]
     docs = []
@@ -69,13 +71,6 @@ def test_families_that_share_much(spark):
             docs.append((100 * family + i, " ".join(w)))
     docs += [(900 + i, " ".join(common[i : i + 50])) for i in range(10)]
     assert rows(near_dedup.near_duplicates(frame(spark, docs))) == collections.Counter(brute.near(docs))
-    # Without the tables' own pairs every link must come from the prefixes.
-    sets = brute.shingles
-    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
-    for i, t in docs:
-        for j, u in docs:
-            if i < j and 100 * len(sets(t) & sets(u)) >= 85 * len(sets(t) | sets(u)):
-                assert out[i] == out[j]
 
 
 def test_text_ids(spark):
@@ -177,6 +172,16 @@ def test_columns_against_all_pairs(seed, n):
             assert marks[i, c] == want
 
 
+def test_suffix_dedup_of_repeated_lines(spark):
+    """Lines that a text repeats by the thousand, near and far from each other, and copies of such a text."""
+    rnd = random.Random(30)
+    text = lambda n: "".join(rnd.choice("abcd ") for _ in range(n))
+    line, far = text(90) + "\n", text(400)
+    docs = [(1, line * 300), (2, far + line * 40 + text(900) + far + text(500) + line * 3), (3, text(80) + line * 2 + text(600) + line * 2), (4, far[:250] + text(100) + far[:250])]
+    docs += [(10 + i, line * 7 + text(300)) for i in range(5)] + [(20, line * 300), (21, line * 300), (22, line * 300), (23, None)]
+    test_suffix_dedup(spark, docs)
+
+
 def test_columns_in_a_file(monkeypatch):
     texts = [bytes([97 + (i * k) % 3 for k in range(suffix_dedup.CONTEXT)]) for i in range(6)]
     args = np.zeros(6, int), [suffix_dedup.BEFORE] * 6, texts
@@ -279,8 +284,8 @@ def all_segments(value):
         for i in range(j):
             part, small, n = value[i:j], low[i:j], j - i
             costs = [S._brute(part) if n == 1 else float("inf")]
-            if small in S._RANK:
-                costs.append(S._RANK[small] + (0 if part == small else log(2 + n)) + log(2))
+            if small in S._RANKED[0]:
+                costs.append(S._RANKED[0][small] + (0 if part == small else log(2 + n)) + log(2))
             if S._DATE.fullmatch(part):
                 costs.append((log(120) if n == 4 else log(365 * 120 * 4)) + log(2))
             pairs = list(zip(small, small[1:]))
@@ -354,6 +359,13 @@ def test_long_units_cost_more_than_the_limit(value):
     assert (bounded == least) if least < limit else (bounded >= limit)
 
 
+def test_another_dictionary(spark):
+    docs = frame(spark, [(1, "passphrase: zorblaxquindelvorp"), (2, None)])
+    spans = lambda **more: {r["doc_id"]: len(r["spans"]) for r in secrets_scan.scan_secrets(docs, **more).collect()}
+    assert spans() == {1: 1, 2: 0} and spans(words=("Zorblax", "quindel", "vorp")) == {1: 0, 2: 0}
+    assert secrets_scan.redact_secrets(docs, words=("zorblax", "quindel", "vorp")).first()["text"] == "passphrase: zorblaxquindelvorp"
+
+
 def test_prose_in_contexts_is_no_secret():
     for text in ("the secret is understanding", "token: authentication", "pwd: administrator", "Passphrase is required.", "credentials: username/password", "the password is incorrect", "secret=configuration", "bearer certificates", "token: basic understanding"):
         assert [k for _, k, _, _ in secrets_scan.scan_text(text) if k == 3] == [], text
