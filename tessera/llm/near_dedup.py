@@ -3,16 +3,18 @@
 A document's set holds the hashes of its distinct five-word shingles. Two collections of ``SIDE`` short keys, each made of
 ``WIDTH`` minhashes, are combined pairwise into SIDE * SIDE table keys: 100 tables of four minhashes from 40 minhashes
 instead of 400. A pair at similarity 0.85 misses all tables with probability 2 (1 - 0.85^2)^10, about 5e-6; at 0.8, 7e-5.
+Short keys that one node alone holds go before they are combined, so most documents make no table keys at all.
 
 Equal sets are one node from the start. In each table bucket every node is paired with the bucket's first node and with
 its most central one (that of the largest buckets), so pairs grow with the rows, not with the square of a bucket. Pairs are
 confirmed on full sets and joined to components; after that only pairs of different components are left. Buckets with few
-of them emit them; the nodes of the rest are joined on the rarest shingles of their sets instead (a prefix that any two sets
-of that similarity must share), which again is exact. No bucket is capped.
+of them name them; the nodes of the rest are joined on the rarest shingles of their sets (a prefix that any two sets of that
+similarity must share), which again is exact, and there only across components. No bucket is capped.
 
 Defined results: null or empty texts and texts without words have an empty set, component doc_id, and are kept; fewer words
 than five make one shingle; repeated rows and equal texts share a component; a component's id is its least non-null doc_id;
-rows whose component has none (all ids null) have a null component and are kept; an empty table gives no rows.
+rows whose component has none (all ids null) have a null component and are kept; ids may be numbers or text; other columns,
+whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
-from tessera.llm.common import map_arrow, materialize, small, text_key, text_or_empty
+from tessera.llm.common import discard, map_arrow, materialize, small, text_key, text_or_empty
 
 #: Words of a shingle; similarity in hundredths unless the caller names another; keys of each collection; minhashes of a key.
 SHINGLE, SIMILAR, SIDE, WIDTH = 5, 85, 10, 2
-#: Pairs of different components up to which a bucket emits them.
+#: Pairs of different components up to which a bucket names them itself. Both ways give every link of a bucket: this is the
+#: cheaper one while the pairs are fewer than the shingles that the other way would move.
 FEW = 16
 #: Shingles of a prefix by which pairs are told to have met already.
 HEAD = 16
@@ -123,13 +126,17 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("c").agg(F.min("p").alias("m"))
         step = large.join(low, "c")
         moved = step.where("p > m").select(F.col("p").alias("c"), F.col("m").alias("p"))
-        e = materialize(moved.unionByName(low.select("c", F.col("m").alias("p"))).distinct(), "links")
-    return e.select(F.col("c").alias("node"), F.col("p").alias("root")).unionByName(e.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct())
+        before, e = e, materialize(moved.unionByName(low.select("c", F.col("m").alias("p"))).distinct(), "links")
+        discard(before)
+    out = e.select(F.col("c").alias("node"), F.col("p").alias("root")).unionByName(e.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct())
+    out._written = e._written
+    return out
 
 
-def _rare(nodes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+def _rare(nodes: DataFrame, sets: DataFrame, similar: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of the given nodes (node, root) of different roots that share one of the rarest shingles of their sets: of n
-    shingles, in order of frequency, the first n - ceil(similar n / 100) + 1. Shingles of one node only never make a pair."""
+    shingles, in order of frequency, the first n - ceil(similar n / 100) + 1. Shingles of one node only never make a pair. The written
+    table of the prefixes comes with them."""
     x = nodes.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     shared = x.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     y = x.join(shared, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("by"))
@@ -138,12 +145,17 @@ def _rare(nodes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     y = y.where(prefix > 0).select("node", "root", "n", alone.alias("alone"), F.transform(F.slice("by", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda r: r["s"]).alias("p"))
     kept = y.select(F.struct("node", "n").alias("x"), "root", "alone", F.slice("p", 1, HEAD).alias("head"), F.posexplode("p").alias("place", "s"))
     kept = kept.select("x", "root", "head", "s", (F.col("x.n") - F.col("alone") - F.col("place")).alias("left"))
+    # Nodes of one component need no pair: of a shingle's nodes those of its greatest component meet the others only, so a
+    # family of copies, all of one component, is not compared with itself.
+    by = kept.groupBy("s", "root").agg(F.count("*").alias("k")).groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("major"))
+    kept = materialize(kept.join(by.where("roots > 1").select("s", F.col("major.root").alias("major")), "s"), "prefixes")
+    few = kept.where("root != major")
     other = kept.select(F.col("x").alias("y"), F.col("root").alias("root2"), F.col("head").alias("head2"), "s", F.col("left").alias("left2"))
     # A pair comes once for each shared shingle of the prefixes; where the heads share any, the first one alone counts.
     once = F.coalesce(F.try_element_at(F.array_intersect("head", "head2"), F.lit(1)), F.col("s")) == F.col("s")
     # If this is the first shared shingle, no more are shared than follow it in either set.
     enough = F.least("left", "left2") * (100 + similar) >= similar * (F.col("x.n") + F.col("y.n"))
-    return kept.join(other, "s").where("root != root2 and x.node < y.node").where(enough & once).select("x", "y")
+    return few.join(other, "s").where("root != root2 and (root2 = major or x.node < y.node)").where(enough & once).select("x", "y"), kept
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -163,9 +175,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = materialize(keys.where("not chosen").select("id", "text_key").unionByName(spare.select("id", "text_key")), "gone")
     again = materialize(keys.where("chosen and n > 1").select("id", "text_key"), "again")
     names = docs.columns
-    here = F.struct(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"))
+    here = F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), here.alias("at"))
     same = lambda t: F.col("at.id").eqNullSafe(t["id"]) & (F.col("at.key") == t["text_key"])
+    discard(keys)
     rest = rows.join(small(gone), same(gone), "left_anti")
     if again.isEmpty():
         return rest.select("row.*")
@@ -175,15 +188,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFrame:
     """id, text_key, n_shingles, component_id, kept, and chosen: whether a row has the least id and text hash of its component."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), text_key(text_col).alias("text_key"))
-    sig = materialize(rows.transform(map_arrow, _signatures, "id long, text_key binary, n_shingles long, cls binary, left array<long>, right array<long>"), "signatures")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    sig = materialize(rows.transform(map_arrow, _signatures, f"id {kind}, text_key binary, n_shingles long, cls binary, left array<long>, right array<long>"), "signatures")
     nodes = sig.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min(F.expr(_RANK)).alias("rank"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = F.flatten(F.transform("left", lambda x, i: F.transform(F.col("right"), lambda y, j: F.xxhash64(i, x, j, y))))
-    tables = nodes.select("node", "n", F.explode(keys).alias("key"))
-    w = Window.partitionBy("key")
-    buckets = tables.select("key", F.struct("node", "n").alias("x"), F.count("*").over(w).alias("held"), F.min(F.struct("node", "n")).over(w).alias("first")).where("held > 1")
-    buckets = materialize(buckets, "buckets")
+    # Short keys that one node alone holds make no pair: what is left of the others is combined.
+    short = nodes.select("node", "n", F.posexplode(F.concat("left", "right")).alias("slot", "key")).select("node", "n", "slot", F.xxhash64("slot", "key").alias("key"))
+    held = materialize(short.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "short-keys")
+    of = lambda left: F.collect_list(F.when((F.col("slot") < SIDE) == F.lit(left), F.col("key")))
+    sides = short.join(small(held), "key", "left_semi").groupBy("node", "n").agg(of(True).alias("left"), of(False).alias("right"))
+    sides = materialize(sides.where((F.size("left") > 0) & (F.size("right") > 0)), "sides")
+    keys = F.flatten(F.transform("left", lambda x: F.transform(F.col("right"), lambda y: F.xxhash64(x, y))))
+    tables = sides.select("node", "n", F.explode(keys).alias("key"))
+    shared = materialize(tables.groupBy("key").agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("first")).where("held > 1"), "tables")
+    buckets = materialize(tables.join(small(shared), "key").select("key", F.struct("node", "n").alias("x"), "held", "first"), "buckets")
+    discard(held, sides, shared)
     # The node with the most company over all tables stands for a bucket, too.
     weight = buckets.groupBy("x").agg(F.sum("held").alias("company"))
     central = buckets.join(weight, "x").groupBy("key").agg(F.max(F.struct("company", "x")).alias("c")).select("key", F.col("c.x").alias("central"))
@@ -195,26 +215,34 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFr
     sets = texts.transform(map_arrow, _set_rows, "cls binary, shingles array<long>").join(met.select("cls", "node"), "cls").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
     links = materialize(_confirmed(pairs, sets, similar), "confirmed")
-    roots = materialize(components(links), "roots")
+    found = components(links)
+    roots = materialize(found, "roots")
+    discard(found)
     # What is left: pairs of different components in one bucket.
     placed = buckets.select("key", "x").join(roots.withColumnRenamed("node", "_n"), F.col("x.node") == F.col("_n"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root"))
     placed = materialize(placed, "placed")
     cells = placed.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open")).where("open > 0")
     cells = materialize(cells, "open-buckets")
-    few = placed.join(cells.where(F.col("open") <= FEW), "key").select("key", "x", "root")
+    few = placed.join(small(cells.where(F.col("open") <= FEW).select("key")), "key", "left_semi")
     direct = few.join(few.select("key", F.col("x").alias("y"), F.col("root").alias("root2")), "key").where("root != root2 and x.node < y.node").select("x", "y")
-    many = placed.join(cells.where(F.col("open") > FEW), "key").select(F.col("x.node").alias("node"), "root").distinct()
-    rest = _ordered(direct.unionByName(_rare(many, sets, similar)), similar).join(pairs, ["a", "b"], "left_anti")
-    late = _confirmed(materialize(rest, "late-pairs"), sets, similar)
+    many = placed.join(small(cells.where(F.col("open") > FEW).select("key")), "key", "left_semi").select(F.col("x.node").alias("node"), "root").distinct()
+    late, prefixes = _rare(many, sets, similar)
+    rest = materialize(_ordered(direct.unionByName(late), similar).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
+    discard(prefixes)
+    late = _confirmed(rest, sets, similar)
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     late = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    final = materialize(components(late), "final-roots").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    found = components(late)
+    ends = materialize(found, "final-roots")
+    discard(found)
+    final = ends.select(F.col("node").alias("root"), F.col("root").alias("last"))
     grouped = roots.join(final, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     lone = final.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), F.col("last").alias("root"))
     grouped = grouped.unionByName(lone).join(nodes.select("node", "cls", "rank"), "node")
     least = grouped.groupBy("root").agg(F.min("rank").alias("_linked"))
     linked = grouped.join(least, "root").select("cls", "_linked")
     named = materialize(nodes.select("cls", "rank").join(linked, "cls", "left").select("cls", F.coalesce("_linked", "rank").alias("_first")), "components")
+    discard(nodes, buckets, pairs, met, sets, links, roots, placed, cells, rest, ends)
     out = sig.select("id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("_first.id"))
     chosen = F.col("cls").isNull() | (F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("text_key") == F.col("_first.text_key")))
