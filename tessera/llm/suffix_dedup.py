@@ -12,13 +12,19 @@ which all suffixes that matter are aligned, so that a round costs the bucket's r
    first, one symbol of each is inserted: the order of the suffixes (with it the column of the Burrows-Wheeler transform)
    is a stable sort by the inserted symbol, common prefixes with the neighbour are one more than the least between the two
    in the order before. A window is repeated if its suffix shares ``SPAN`` bytes with a neighbour. The symbols are kept in
-   a file by columns, read once from end to end. Anchors with more than ``HOT`` different contexts are not gathered: their
-   windows are counted by hash instead, pre-aggregated in each task.
+   a file by columns, read once from end to end.
+
+A bucket of more than ``FITS`` different contexts is split first. All windows that begin in a range of columns share its
+core, the bytes from the range's last column to ``SPAN`` after its first; only contexts with equal cores can share such a
+window. So each half of the columns makes buckets of its own, by the core, in which equal pieces are repeated as a whole and
+count once. Halves are split again while they are too many; a range of one column has the whole window as its core, so that
+no two pieces of its buckets differ, and the splitting ends.
 
 Texts are identified by 128 bits of their SHA-256, so equal texts are one, and rows need no id.
 
 Defined results: null texts are empty; texts shorter than ``SPAN`` lose nothing; equal texts of at least that length lose
-everything; repeated rows are equal texts; matches never cross documents; an empty table gives no rows.
+everything; repeated rows are equal texts; matches never cross documents; other columns, whatever their names, are not read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,15 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel as K
-from tessera.llm.common import map_arrow, materialize, small, text_or_empty
+from tessera.llm.common import discard, map_arrow, materialize, small, text_or_empty
 
 SPAN, GRAM = 200, 64
 WIDTH = SPAN - GRAM + 1
 #: Bytes before the anchor and in all of a context.
 BEFORE = SPAN - GRAM
 CONTEXT = BEFORE + SPAN
-#: Contexts of an anchor up to which they are gathered; contexts ordered together; cells kept in memory.
-HOT, TOGETHER, IN_MEMORY = 20_000, 16_384, 1 << 23
+#: Contexts of a bucket that one task takes; contexts ordered together; cells kept in memory.
+FITS, TOGETHER, IN_MEMORY = 4_096, 16_384, 1 << 23
 _OUTSIDE = 256
 #: Contexts, or stretches, of all texts (20 to 40 bytes each) up to which they are broadcast to the texts.
 ENTRIES = 3_000_000
@@ -104,13 +110,43 @@ def digest_columns(text: Column) -> tuple[Column, Column]:
     return half(1), half(17)
 
 
+def _runs(row: np.ndarray, place: np.ndarray, h: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one text that have the same anchor and context and are near enough for their contexts to touch, as runs: an
+    order of the places, where the runs begin in it, and how many places each has."""
+    order = np.lexsort((place, context, h, row))
+    near = np.zeros(len(order), bool)
+    for x in (row, h, context):
+        near[1:] |= x[order][1:] != x[order][:-1]
+    near = ~near
+    near[:1] = False
+    near[1:] &= np.diff(place[order]) <= CONTEXT
+    begin = np.flatnonzero(~near)
+    return order, begin, np.diff(np.append(begin, len(order)))
+
+
 def _anchor_rows(batches):
+    """A row for each run of places: the first and the last, and their number, up to two. A line that a text repeats makes few
+    rows, and of equal texts of a task the first two make them all, since two is as good as many."""
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
         for _, _, data, off in K.chunks(batch.column(0)):
             row, place, h, context = anchors(data, off)
-            if len(row):
-                d = _digests(data, off)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(place.astype(np.int32))], names=["anchor", "context", "d1", "d2", "place"])
+            if not len(row):
+                continue
+            names = _digests(data, off)
+            keep = np.ones(len(off) - 1, bool)
+            for i in np.unique(row).tolist():
+                name = (int(names[i, 0]), int(names[i, 1]))
+                seen[name] = seen.get(name, 0) + 1
+                keep[i] = seen[name] <= 2
+            row, place, h, context = (x[keep[row]] for x in (row, place, h, context))
+            if not len(row):
+                continue
+            order, begin, size = _runs(row, place, h, context)
+            first, last = order[begin], order[begin + size - 1]
+            d = names[row[first]]
+            columns = (h[first].view(np.int64), context[first].view(np.int64), d[:, 0], d[:, 1], place[first].astype(np.int32), place[last].astype(np.int32), np.minimum(size, 2).astype(np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "d1", "d2", "place", "last", "n"])
 
 
 def _anchor_keys(batches):
@@ -122,11 +158,16 @@ def _anchor_keys(batches):
 
 
 def _cut(batches):
-    """Contexts' bytes: before is the number of bytes before the anchor."""
+    """Contexts' bytes: before is the number of bytes before the anchor. Of equal texts of a task one is cut."""
+    done = set()
     for batch in batches:
         raw, off = K.column(batch.column(0))
         d1, d2 = batch.column(1), batch.column(2)
         for i in range(batch.num_rows):
+            name = (d1[i].as_py(), d2[i].as_py())
+            if name in done:
+                continue
+            done.add(name)
             text = raw[off[i] : off[i + 1]]
             anchor, context, place = (batch.column(k)[i].values for k in (3, 4, 5))
             n, at = len(place), place.to_numpy()
@@ -225,20 +266,67 @@ def _resolved(batches):
         yield done()
 
 
-def _window_keys(batches):
-    """Every window of the contexts by two hashes, for anchors with too many contexts to gather."""
+def _name(*parts: bytes) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for p in parts:
+        h.update(len(p).to_bytes(4, "little") + p)
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+_PIECE = "anchor long, context long, d1 long, d2 long, place int, before int, bytes binary"
+_SPLIT = f"{_PIECE}, low int, high int, start int, stop int"
+
+
+def _split(batches):
+    """Each piece, whose windows begin in the columns from low to high, as one or two pieces of half the columns; their bucket
+    (anchor) is named by the old one and the core, the piece itself (context) by its bytes. start and stop are the text's
+    stretch of the piece's windows."""
     for batch in batches:
-        rows = batch.to_pydict()
+        rows, out = batch.to_pydict(), []
         for i in range(batch.num_rows):
-            t, skip = rows["bytes"][i], BEFORE - rows["before"][i]
-            n = len(t) - SPAN + 1
-            if n <= 0:
-                continue
-            names = [hashlib.blake2b(t[k : k + SPAN], digest_size=16).digest() for k in range(n)]
-            at = rows["place"][i] - BEFORE + skip + np.arange(n)
-            two = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            same = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), same(rows["d1"][i]), same(rows["d2"][i]), pa.array(at.astype(np.int32))], names=["w1", "w2", "d1", "d2", "start"])
+            t, first, place = rows["bytes"][i], BEFORE - rows["before"][i], rows["place"][i]
+            low, high = rows["low"][i], rows["high"][i]
+            mid = (low + high + 1) // 2
+            for a, b in ((low, mid), (mid, high)):
+                begin, end = max(a, first), min(b - 1, first + len(t) - SPAN)  # the first and last window inside the text
+                if begin > end or a >= b:
+                    continue
+                piece = t[begin - first : end + SPAN - first]
+                core = t[b - 1 - first : a + SPAN - first]
+                sides = f"{a} {b}".encode()
+                bucket = _name(rows["anchor"][i].to_bytes(8, "little", signed=True), sides, core)
+                out.append((bucket, _name(begin.to_bytes(2, "little"), piece), rows["d1"][i], rows["d2"][i], place, BEFORE - begin, piece, a, b, place - BEFORE + begin, place - BEFORE + end + SPAN))
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "context", "d1", "d2", "place", "before", "bytes", "low", "high", "start", "stop"])
+
+
+def _fitting(pieces: DataFrame, fits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pieces in buckets of at most ``fits`` different ones, and the stretches that the splitting itself has found."""
+    ready, found = [], []
+    pieces = pieces.withColumns({"low": F.lit(0), "high": F.lit(WIDTH)})
+    while True:
+        many = pieces.groupBy("anchor").agg(F.count_distinct("context").alias("different")).where(F.col("different") > fits).select("anchor")
+        many = materialize(many, "large-buckets")
+        if many.isEmpty():
+            ready.append(pieces)
+            break
+        ready.append(pieces.join(small(many), "anchor", "left_anti"))
+        large = pieces.join(small(many), "anchor", "left_semi")
+        large = large if found else large.dropDuplicates(["anchor", "context"])  # equal texts of several tasks
+        split = materialize(large.transform(map_arrow, _split, _SPLIT), "split-pieces")
+        groups = split.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "place")).alias("at"))
+        groups = materialize(groups, "split-groups")
+        twice = groups.where("n > 1").select("anchor", "context")
+        found.append(split.join(small(twice), ["anchor", "context"], "left_semi").select("d1", "d2", "start", "stop"))
+        others = groups.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1").select("anchor")
+        kept = groups.join(others, "anchor", "left_semi").select("anchor", "context", "at.*")
+        pieces = split.join(kept, ["anchor", "context", "d1", "d2", "place"], "left_semi").drop("start", "stop")
+        pieces = materialize(pieces, "pieces")
+    out = ready[0]
+    for r in ready[1:]:
+        out = out.unionByName(r)
+    return out.drop("low", "high"), found
 
 
 def _united(batches):
@@ -285,18 +373,18 @@ def _removed(batches):
                 spans, kept, size, lo = [], [], 0, i + 1
 
 
-def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
+def repeats(texts: DataFrame, fits: int = FITS) -> DataFrame:
     """d1, d2, marks (array of start, stop) for every distinct text that has repeated stretches; ``texts`` has one column."""
     name = texts.columns[0]
     keys = texts.transform(map_arrow, _anchor_keys, "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     # Written, so that both sides of the join are exchanged for it and a hot anchor's rows can be split.
     keys = materialize(keys, "repeated-anchors")
-    places = texts.transform(map_arrow, _anchor_rows, "anchor long, context long, d1 long, d2 long, place int")
+    places = texts.transform(map_arrow, _anchor_rows, "anchor long, context long, d1 long, d2 long, place int, last int, n byte")
     places = materialize(places.join(keys, "anchor", "left_semi"), "anchors")
-    contexts = places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "place")).alias("at"))
+    contexts = places.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("d1", "d2", "place")).alias("at"))
     contexts = materialize(contexts, "contexts")
     whole = places.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
-    whole = whole.select("d1", "d2", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("start"), (F.col("place") + SPAN).alias("stop"))
+    whole = whole.select("d1", "d2", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("start"), (F.col("last") + SPAN).alias("stop"))
     mixed = contexts.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1").select("anchor", "different")
     open_ = contexts.select("anchor", "context", "at.*").join(mixed, "anchor")
     wanted = open_.groupBy(F.col("d1").alias("w1"), F.col("d2").alias("w2")).agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted"))
@@ -305,18 +393,17 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     named = texts.select(name, d1.alias("d1"), d2.alias("d2"))
     entries = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
     cut = named.join(small(wanted, entries, ENTRIES), (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).select(name, "d1", "d2", "anchors", "contexts", "places")
-    cut = cut.transform(map_arrow, _cut, "anchor long, context long, d1 long, d2 long, place int, before int, bytes binary")
-    cut = materialize(cut, "context-bytes")
-    many = mixed.where(F.col("different") > hot).select("anchor")
-    ordered = cut.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "context")
-    resolved = ordered.transform(map_arrow, _resolved, "d1 long, d2 long, start int, stop int")
-    # An equal text's contexts come once for each of its rows; a window counts once for each place.
-    windows = cut.join(many, "anchor", "left_semi").transform(map_arrow, _window_keys, "w1 long, w2 long, d1 long, d2 long, start int").distinct()
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    counted = windows.join(twice, ["w1", "w2"], "left_semi").select("d1", "d2", "start", (F.col("start") + SPAN).alias("stop"))
-    marks = whole.unionByName(resolved).unionByName(counted).distinct()
+    cut = materialize(cut.transform(map_arrow, _cut, _PIECE), "context-bytes")
+    pieces, found = _fitting(cut, fits)
+    ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "context")
+    marks = whole.unionByName(ordered.transform(map_arrow, _resolved, "d1 long, d2 long, start int, stop int"))
+    for f in found:
+        marks = marks.unionByName(f)
+    marks = marks.distinct()
     marks = marks.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    return materialize(marks.transform(map_arrow, _united, f"d1 long, d2 long, {_MARKS}"), "marks")
+    marks = materialize(marks.transform(map_arrow, _united, f"d1 long, d2 long, {_MARKS}"), "marks")
+    discard(keys, places, contexts, wanted, cut)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
