@@ -1,7 +1,7 @@
 """Operator 8, exact top-k inner products by norm-bucketed retrieval.
 
-Components become floor(SCALE * x). Vectors are grouped by length (norm) into buckets of ``BUCKET`` in each task. The k-th
-best product of a query so far, divided by its length and the bucket's greatest length, is the local cosine threshold of a
+Components become floor(SCALE * x). Vectors are dealt by length (norm) over the whole table and cut into buckets of
+``BUCKET``; buckets too short for every query of a block are not read. The k-th best product of a query so far, divided by its length and the bucket's greatest length, is the local cosine threshold of a
 bucket: above 1 the bucket is skipped, and so is all after it; a high threshold is pruned by coordinates (a vector whose
 component on the query's largest coordinate is outside the feasible range can't reach it), a low one by length (only the
 vectors long enough, a prefix of the bucket). What is left is verified by integer products; the bounds have slack for
@@ -10,9 +10,9 @@ rounding, the products are exact.
 The stated query set goes against all rows in blocks of ``BLOCK`` queries, each broadcast to one scan; every task returns
 at most k rows a query, merged by query. First thresholds come from the ``PROBE`` longest vectors, a fixed number.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; a
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id or one that is no whole number; a
 shorter vector counts as if filled up with zeros; rows with the query's own id are not its candidates, and other repeated
-rows all count, ties going to the smaller id; every row of a query's id is searched, equal ones once and counted as often as
+rows all count, other columns, whatever their names, are not read, ties going to the smaller id; every row of a query's id is searched, equal ones once and counted as often as
 they come, and the k best of all its pairs are ranked together; with fewer than k candidates all are returned; an empty table gives no rows.
 """
 
@@ -34,8 +34,8 @@ def quantise(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE)
     """vec_id and v (array of whole doubles) of the rows that take part."""
     x = F.col(vec_col).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & finite)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: _floor(c * F.lit(float(scale)))).alias("v"))
+    rows = vectors.where(F.col(id_col).try_cast("long").isNotNull() & x.isNotNull() & finite)
+    return rows.select(F.col(id_col).try_cast("long").alias("vec_id"), F.transform(x, lambda c: _floor(c * F.lit(float(scale)))).alias("v"))
 
 
 def _floor(c):
@@ -139,9 +139,11 @@ def _scan(shared, k: int):
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by ``every``, its k best other rows."""
     spark = vectors.sparkSession
-    rows = materialize(quantise(vectors, id_col, vec_col, scale), "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    probe = rows.orderBy(norm.desc(), "vec_id").limit(PROBE).toArrow()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    # Dealt and sorted by length once: the files, and the row groups in them, are buckets of all vectors.
+    rows = quantise(vectors, id_col, vec_col, scale).withColumn("length", length)
+    rows = materialize(rows.repartitionByRange(F.col("length").desc(), "vec_id").sortWithinPartitions(F.col("length").desc(), "vec_id"), "vectors")
+    probe = rows.orderBy(F.col("length").desc(), "vec_id").limit(PROBE).toArrow()
     probe_ids, probe_v = probe["vec_id"].to_numpy(), _matrix(probe["v"].combine_chunks() if probe.num_rows else pa.array([], pa.list_(pa.float64())))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = materialize(queries.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("times")), "queries")
@@ -159,7 +161,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             _, best = search(qid[i : i + 256], q[i : i + 256], probe_ids, probe_v, k, lowest[i : i + 256])
             floor[i : i + 256] = [float(b[-1]) if len(b) == k else -float(1 << 62) for b in best]
         shared = spark.sparkContext.broadcast((qid, q, floor, own["times"].to_numpy()))
-        found = rows.transform(map_arrow, _scan(shared, k), "query_id long, vec_id long, score long")
+        # No vector shorter than this reaches any query's floor; the scan skips the files and row groups of such vectors.
+        least = float(((floor - 1) / np.maximum(np.linalg.norm(q, axis=1), 1e-9)).min()) * (1 - 1e-6)
+        found = (rows.where(F.col("length") >= least) if least > 0 else rows).select("vec_id", "v").transform(map_arrow, _scan(shared, k), "query_id long, vec_id long, score long")
         merged = found if merged is None else merged.unionByName(found)
     if merged is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
