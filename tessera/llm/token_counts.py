@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, materialize, scratch_path, small, text_or_empty
+from tessera import scratch
+from tessera.llm.common import discard, map_arrow, materialize, small, text_or_empty
 
 OVER_LIMIT = 512
 #: Characters of texts encoded at a time, counts of chunks remembered by a worker, longest chunk remembered.
@@ -121,9 +122,10 @@ def _encode(path: str):
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER_LIMIT) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for every row of ``docs``. ``tokenizer`` is the path of a tokenizer file that
-    every executor can read, ``cache`` the folder of the cache in a store that all share (a new one if None)."""
+    every executor can read, ``cache`` the folder of the cache in a store that all share: by default ``token-cache`` in
+    ``spark.checkpoint.dir``, which later jobs find again."""
     spark = docs.sparkSession
-    cache = cache or scratch_path(spark, "token-cache")
+    cache = cache or f"{scratch.shared_dir(spark)}/token-cache"
     version = tokenizer_digest(tokenizer)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("digest"))
@@ -140,14 +142,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
         counted = texts.select("digest", "_text").transform(map_arrow, _encode(tokenizer), "digest binary, n_tokens long")
         counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
         counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
+    discard(new)
     known = _cached(spark, cache, version)
     out = keyed.join(known, "digest", "left") if known is not None else keyed.withColumn("n_tokens", F.lit(0).cast("long"))
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _cached(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not scratch.exists(spark, cache):
         return None
     table = spark.read.schema("digest binary, n_tokens long, tokenizer string").parquet(cache)
     # Two runs that miss at the same time append the same row twice.
