@@ -26,6 +26,8 @@ from tessera import scratch
 from tessera.llm.common import discard, map_arrow, materialize, small, text_or_empty
 
 OVER_LIMIT = 512
+#: The setting that names the cache's folder.
+CACHE = "spark.tessera.token.cache"
 #: Characters of texts encoded at a time, counts of chunks remembered by a worker, longest chunk remembered.
 PIECE, MEMO, MEMO_CHARS = 1 << 20, 400_000, 64
 
@@ -122,10 +124,10 @@ def _encode(path: str):
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER_LIMIT) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for every row of ``docs``. ``tokenizer`` is the path of a tokenizer file that
-    every executor can read, ``cache`` the folder of the cache in a store that all share: by default ``token-cache`` in
-    ``spark.checkpoint.dir``, which later jobs find again."""
+    every executor can read, ``cache`` the folder of the cache in a store that all share: that of the session's setting
+    ``CACHE`` unless named here, where later jobs find it again; a new one, for this call alone, without either."""
     spark = docs.sparkSession
-    cache = cache or f"{scratch.shared_dir(spark)}/token-cache"
+    cache = cache or spark.conf.get(CACHE, None) or scratch.scratch_path(spark, "token-cache")
     version = tokenizer_digest(tokenizer)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("digest"))

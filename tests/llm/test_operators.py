@@ -233,6 +233,12 @@ def test_token_counts(spark, awkward, tmp_path):
     want = collections.Counter((d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 512) for d, x in docs)
     for _ in range(2):
         assert rows(token_counts.count_tokens(frame(spark, docs), queries.tokenizer_path(), cache)) == want
+    # The session's setting names the same cache: nothing is encoded again.
+    spark.conf.set(token_counts.CACHE, cache)
+    try:
+        assert rows(token_counts.count_tokens(frame(spark, docs), queries.tokenizer_path())) == want
+    finally:
+        spark.conf.unset(token_counts.CACHE)
     stored = spark.read.parquet(cache)
     assert stored.count() == stored.select("digest").distinct().count() == len({x or "" for _, x in docs})
 
