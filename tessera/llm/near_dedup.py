@@ -102,12 +102,17 @@ def _ordered(pairs: DataFrame, similar: int) -> DataFrame:
     return p.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int, tag: str) -> DataFrame:
+    """The pairs that their full sets confirm, written. Only sets that a pair names move."""
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    own = sets.join(small(named), "node", "left_semi")
+    one = own.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    two = own.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    out = materialize(both.where(100 * common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b"), tag)
+    discard(named)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,7 +219,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFr
     texts = rows.join(mark, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = texts.transform(map_arrow, _set_rows, "cls binary, shingles array<long>").join(met.select("cls", "node"), "cls").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
-    links = materialize(_confirmed(pairs, sets, similar), "confirmed")
+    links = _confirmed(pairs, sets, similar, "confirmed")
     found = components(links)
     roots = materialize(found, "roots")
     discard(found)
@@ -229,7 +234,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFr
     late, prefixes = _rare(many, sets, similar)
     rest = materialize(_ordered(direct.unionByName(late), similar).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
     discard(prefixes)
-    late = _confirmed(rest, sets, similar)
+    late = more = _confirmed(rest, sets, similar, "late-confirmed")
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     late = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     found = components(late)
@@ -242,7 +247,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, similar: int) -> DataFr
     least = grouped.groupBy("root").agg(F.min("rank").alias("_linked"))
     linked = grouped.join(least, "root").select("cls", "_linked")
     named = materialize(nodes.select("cls", "rank").join(linked, "cls", "left").select("cls", F.coalesce("_linked", "rank").alias("_first")), "components")
-    discard(nodes, buckets, pairs, met, sets, links, roots, placed, cells, rest, ends)
+    discard(nodes, buckets, pairs, met, sets, links, roots, placed, cells, rest, more, ends)
     out = sig.select("id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("_first.id"))
     chosen = F.col("cls").isNull() | (F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("text_key") == F.col("_first.text_key")))
