@@ -113,7 +113,7 @@ def _local(spark: SparkSession, rows: list[tuple], kind: T.StructType) -> DataFr
         df = spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), kind)
     except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError, TypeError, ValueError, OverflowError):
         df = spark.createDataFrame(rows, kind)
-    return df.coalesce(1) if len(rows) <= ONE_FILE else df
+    return df
 
 
 def _zoned(v: Any) -> Any:
@@ -162,6 +162,39 @@ def writer(spark: SparkSession, spec: TableSpec, df: DataFrame):
     return out.partitionBy(*spec.partition_by) if spec.partition_by else out
 
 
+def _in_driver(df: DataFrame) -> bool:
+    """Whether the optimiser has worked the rows out already, so that reading them takes no job, and Arrow has their types."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    try:
+        to_arrow_schema(df.schema)
+    except Exception:  # a type without a counterpart, such as VARIANT
+        return False
+    return df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"
+
+
+def _write_here(spark: SparkSession, spec: TableSpec, df: DataFrame) -> None:
+    """A small insert as one file, without a job: under a hidden name first, so that no reader meets a part of it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = df.toArrow()
+    keys = [(c, "ascending") for c in spec.order_by if c in rows.column_names and not pa.types.is_nested(rows.schema.field(c).type)]
+    out = pa.BufferOutputStream()
+    pq.write_table(rows.sort_by(keys) if keys else rows, out, compression="snappy")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    name = f"part-{uuid.uuid4().hex}.parquet"
+    hidden, final = hadoop(f"{spec.path}/_{name}"), hadoop(f"{spec.path}/{name}")
+    fs = hidden.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(hidden, True)
+    try:
+        stream.write(bytearray(out.getvalue()))
+    finally:
+        stream.close()
+    if not fs.rename(hidden, final):
+        raise OSError(f"{final.toString()} could not be written")
+
+
 class Insert:
     """``insert(spark, table).values(rows).execute()``; immutable."""
 
@@ -175,7 +208,7 @@ class Insert:
         return Insert(self.spark, self.spec, **now)
 
     def values(self, rows: dict | Iterable[dict] | DataFrame) -> Insert:
-        return self._with(rows=[rows] if isinstance(rows, dict) else rows)
+        return self._with(rows=[rows] if isinstance(rows, dict) else rows if isinstance(rows, DataFrame) else list(rows))
 
     def skip_validation(self) -> Insert:
         return self._with(validate=False)
@@ -204,12 +237,22 @@ class Insert:
         if self.spec.engine.name == "Null":
             df.write.format("noop").mode("overwrite").save()
             return df if self._returns else None
+        if not isinstance(self._rows, DataFrame):
+            if self._plain() and len(self._rows) <= ONE_FILE and _in_driver(df):
+                _write_here(self.spark, self.spec, df)
+                return df if self._returns else None
+            df = df.coalesce(1) if len(self._rows) <= ONE_FILE else df
         out = writer(self.spark, self.spec, df).mode("append")
         if self._most:
             out = out.option("maxRecordsPerFile", self._most)
         out.parquet(self.spec.path) if self.spec.path else out.insertInto(self.spec.name)
         return df if self._returns else None
 
+    def _plain(self) -> bool:
+        """Whether one plain Parquet file holds the rows of an insert."""
+        s = self.spec
+        return bool(s.path) and not (s.partition_by or s.engine.option("shard_key") or s.writer_options() or self._most)
+
     def returning_one(self) -> Any:
         return self.returning().execute().first()
 
