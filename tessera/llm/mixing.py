@@ -3,7 +3,8 @@
 A document's size is its number of words; sources weigh 1, 2, 3, repeating, by code point (null last), and share all sizes
 by weight, none above ``MOST`` times its own size (``targets``). A source's documents are permuted by a keyed hash and cut
 into blocks of about ``BLOCK_ROWS`` rows, ranges of that hash. As many whole passes as fit the target take every document;
-the last, partial pass takes blocks in permuted order, and documents in order within the block where the target falls.
+the last, partial pass takes blocks in permuted order, and documents in order within the block where the target falls, at
+the end of which one may stand in for another that comes less near.
 
 The blocks of all passes are divided among output shards by a splitting tree: the shards are halved again and again, the
 left half's blocks of each source drawn from a multivariate hypergeometric distribution, so that the shares of every
@@ -79,20 +80,35 @@ def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 
 def _fitting(block: pa.Table) -> pa.Table:
     """The block where a source's target falls, as kinds of equal documents with their numbers: how many of each the partial
-    pass takes. In permuted order every one that leaves the sum within what remains of the target, then one more if that
-    comes nearer."""
+    pass takes. In permuted order every one that leaves the sum within what remains of the target; then, whichever comes
+    nearest, one more or one in the place of another."""
     block = block.sort_by([("_h", "ascending"), ("size", "ascending"), ("_id", "ascending")])
     left = block["rest"][0].as_py() - block["_before"][0].as_py()
-    taken, over = [], None
-    for i, (size, times) in enumerate(zip(block["size"].to_pylist(), block["times"].to_pylist(), strict=True)):
-        fits = min(times, int(left // size)) if size and left >= size else 0
-        taken.append(fits)
-        left -= fits * size
-        if size and fits < times and (over is None or size < over[0]):
-            over = (size, i)
-    if over and over[0] - left < left:
-        taken[over[1]] += 1
-    return block.append_column("takes", pa.array(taken, pa.int64()))
+    size, times = (block[c].to_numpy().astype(np.int64) for c in ("size", "times"))
+    takes = np.zeros(len(size), np.int64)
+    for i in range(len(size)):
+        if 0 < size[i] <= left:
+            takes[i] = min(times[i], int(left // size[i]))
+            left -= int(takes[i] * size[i])
+    more, held = np.flatnonzero((takes < times) & (size > 0)), np.flatnonzero(takes > 0)
+    gap, add, drop = abs(left), None, None
+    if len(more):
+        i = more[np.argmin(size[more])]
+        if abs(size[i] - left) < gap:
+            gap, add = abs(size[i] - left), i
+    if len(more) and len(held):
+        held = held[np.argsort(size[held], kind="stable")]
+        for k in (-1, 0):  # the taken ones next to what each of the others would have to replace
+            at = np.clip(np.searchsorted(size[held], size[more] - left) + k, 0, len(held) - 1)
+            off = np.abs(size[more] - size[held[at]] - left)
+            j = int(np.argmin(off))
+            if off[j] < gap:
+                gap, add, drop = off[j], more[j], held[at[j]]
+    if add is not None:
+        takes[add] += 1
+    if drop is not None:
+        takes[drop] -= 1
+    return block.append_column("takes", pa.array(takes))
 
 
 def sizes_of(docs: DataFrame, id_col: str, source_col: str, text_col: str, keep: bool = False) -> DataFrame:

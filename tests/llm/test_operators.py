@@ -477,6 +477,24 @@ def test_mixing_of_equal_documents(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5), block_rows=10_000, keep=True).collect()))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 3)), min_size=1, max_size=8), st.floats(0, 1))
+def test_the_cut_comes_near(kinds, share):
+    """No single document more, nor one in the place of another, comes nearer."""
+    import pyarrow as pa
+
+    n = len(kinds)
+    size, times = [k[0] for k in kinds], [k[1] for k in kinds]
+    goal = 100.0 + share * sum(a * b for a, b in kinds)
+    block = pa.table({"_h": list(range(n)), "size": size, "_id": list(range(n)), "rest": [goal] * n, "_before": [100] * n, "times": times})
+    out = mixing._fitting(block).to_pydict()
+    left = goal - 100 - sum(a * b for a, b in zip(out["size"], out["takes"], strict=True))
+    assert all(0 <= a <= b for a, b in zip(out["takes"], times, strict=True)) and all(a == 0 for a, z in zip(out["takes"], size, strict=True) if z == 0)
+    spare = [z for z, a, b in zip(size, out["takes"], times, strict=True) if a < b and z]
+    assert all(abs(left) <= abs(left - y) + 1e-9 for y in spare)
+    assert abs(left) <= max(size) / 2 + 1e-9 or not spare
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 10_000), max_size=9))
 def test_targets_against_water_filling(sizes):
