@@ -3,8 +3,8 @@
 A document's size is its number of words; sources weigh 1, 2, 3, repeating, by code point (null last), and share all sizes
 by weight, none above ``MOST`` times its own size (``targets``). A source's documents are permuted by a keyed hash and cut
 into blocks of about ``BLOCK_ROWS`` rows, ranges of that hash. As many whole passes as fit the target take every document;
-the last, partial pass takes blocks in permuted order, and documents in order within the block where the target falls, at
-the end of which one may stand in for another that comes less near.
+the last, partial pass takes blocks in permuted order, and documents in order within the block where the target falls; there
+one document may stand in for another that would leave the sum less near.
 
 The blocks of all passes are divided among output shards by a splitting tree: the shards are halved again and again, the
 left half's blocks of each source drawn from a multivariate hypergeometric distribution, so that the shares of every
