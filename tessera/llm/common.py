@@ -27,15 +27,16 @@ BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and the shuffle files of the
-    job that wrote it go at once instead of waiting for a collection of the driver's garbage."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, with a folder for each value of the column ``by`` if that is named, and
+    read it back: lineage ends there, and the shuffle files of the job that wrote it go at once instead of waiting for a
+    collection of the driver's garbage."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return written(spark, path, df.schema)

@@ -8,7 +8,7 @@ vectors long enough, a prefix of the bucket). What is left is verified by intege
 rounding, the products are exact.
 
 The stated query set goes against all rows in blocks of ``BLOCK`` queries, each broadcast to one scan; every task returns
-at most k rows a query, merged by query. First thresholds come from the ``PROBE`` longest vectors, a fixed number.
+at most k rows a query, merged by query. Each block's results are written before the next one's scan begins. First thresholds come from the ``PROBE`` longest vectors, a fixed number.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id or one that is no whole number; a
 shorter vector counts as if filled up with zeros; rows with the query's own id are not its candidates, and other repeated
@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import map_arrow, materialize
+from tessera.llm.common import discard, map_arrow, materialize, scratch_path, written
 
 SCALE, BLOCK, BUCKET, PROBE = 1024, 4096, 2048, 2048
 #: Cosine thresholds from which coordinates prune instead of lengths.
@@ -147,11 +148,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     probe_ids, probe_v = probe["vec_id"].to_numpy(), _matrix(probe["v"].combine_chunks() if probe.num_rows else pa.array([], pa.list_(pa.float64())))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = materialize(queries.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("times")), "queries")
-    # Blocks of queries by a hash, each of about ``block`` rows.
+    # Blocks of queries by a hash, each of about ``block`` rows in a folder of its own.
     parts = max(1, -(-queries.count() // block))
-    merged = None
+    if parts > 1:
+        whole, at = queries, F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts))
+        queries = materialize(whole.withColumn("part", at).repartition("part"), "query-blocks", by="part")
+        discard(whole)
+    path, done = scratch_path(spark, "found"), False
     for part in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)) == part).toArrow()
+        own = (queries.where(F.col("part") == part) if parts > 1 else queries).select("vec_id", "v", "times").toArrow()
         if not own.num_rows:
             continue
         qid, q = own["vec_id"].to_numpy().astype(np.int64), _matrix(own["v"].combine_chunks())
@@ -164,8 +169,18 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         # No vector shorter than this reaches any query's floor; the scan skips the files and row groups of such vectors.
         least = float(((floor - 1) / np.maximum(np.linalg.norm(q, axis=1), 1e-9)).min()) * (1 - 1e-6)
         found = (rows.where(F.col("length") >= least) if least > 0 else rows).select("vec_id", "v").transform(map_arrow, _scan(shared, k), "query_id long, vec_id long, score long")
-        merged = found if merged is None else merged.unionByName(found)
-    if merged is None:
+        # A block's results are written before the next begins: its broadcast goes, and the plan stays that of one block.
+        _ranked(found, k).write.mode("append").parquet(path)
+        shared.destroy()
+        done = True
+    discard(rows, queries)
+    if not done:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = written(spark, path, T.StructType.fromDDL("query_id long, vec_id long, score long, rank int"))
+    # Different vectors of one query id may be in different blocks.
+    return (_ranked(found.drop("rank"), k) if parts > 1 else found).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
