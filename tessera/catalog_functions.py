@@ -266,3 +266,47 @@ def geo_k_means(spark, sf):
     out = geo.k_means_clustering(rows, "p", 2)
     first = out.agg(F.min_by("cluster", "s_suppkey").alias("first"))
     return out.join(F.broadcast(first), F.lit(True)).select("s_suppkey", (F.col("cluster") == F.col("first")).alias("same"))
+
+
+# Windows, aggregates under a condition, sketches, maps, null-safe and array predicates.
+
+
+@query("""SELECT o_orderkey, CAST(ntile(4) OVER w AS INTEGER) AS quarter, first_value(o_orderkey) OVER w AS cheapest, last_value(o_orderkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dearest
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)""")
+def win_values(spark, sf):
+    up = W.spec("o_custkey", ["o_totalprice", "o_orderkey"])
+    whole = W.spec("o_custkey", ["o_totalprice", "o_orderkey"], rows=(Window.unboundedPreceding, Window.unboundedFollowing))
+    return read(spark, sf, "orders").select("o_orderkey", W.ntile(4, up).alias("quarter"), W.first_value("o_orderkey", up).alias("cheapest"), W.last_value("o_orderkey", whole).alias("dearest"))
+
+
+@query("""SELECT o_custkey, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS most, count(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus = 'F') AS kinds, coalesce(list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus = 'O')), []) AS open FROM orders GROUP BY 1""")
+def agg_filtered(spark, sf):
+    done = P.eq("o_orderstatus", "F")
+    most, kinds = A.filtered(A.max_, "o_totalprice", done), A.filtered(A.count_distinct, "o_orderpriority", done)
+    return read(spark, sf, "orders").groupBy("o_custkey").agg(most.alias("most"), kinds.alias("kinds"), F.array_sort(A.group_uniq_array_if("o_orderpriority", P.eq("o_orderstatus", "O"))).alias("open"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS exact, true AS near, true AS same FROM events GROUP BY 1")
+def agg_sketches(spark, sf):
+    """Sketches by hour, merged by hour and again by type; both ways estimate within 5 %."""
+    events = read(spark, sf, "events")
+    hours = events.groupBy("event_type", F.hour("ts").alias("h")).agg(A.uniq_state("user_id").alias("s"))
+    halves = hours.groupBy("event_type", (F.col("h") % 2).alias("h")).agg(A.uniq_merge_state("s").alias("s"))
+    merged = hours.groupBy("event_type").agg(A.uniq_merge("s").alias("a")).join(halves.groupBy("event_type").agg(A.uniq_merge("s").alias("b")), "event_type")
+    both = events.groupBy("event_type").agg(A.uniq_exact("user_id").alias("exact")).join(merged, "event_type")
+    close = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 0.05 * F.col("exact")
+    return both.select("event_type", "exact", close("a", "exact").alias("near"), close("a", "b").alias("same"))
+
+
+@query("SELECT p_partkey, unnest([p_brand, p_type]) AS part, ['brand', 'type', 'none'] AS keys, [p_brand, p_type, NULL] AS vals, 2 AS held, CASE WHEN p_brand = p_type THEN 1 ELSE 2 END AS kinds FROM (SELECT p_partkey, p_brand, CAST(p_type AS VARCHAR) AS p_type FROM part)")
+def map_parts(spark, sf):
+    m = F.create_map(F.lit("brand"), "p_brand", F.lit("type"), F.col("p_type").cast("string"), F.lit("none"), F.lit(None).cast("string"))
+    rows = read(spark, sf, "part").select("p_partkey", arrays.map_keys(m).alias("keys"), arrays.map_values(m).alias("vals"))
+    return rows.select("p_partkey", arrays.unnest(F.slice("vals", 1, 2)).alias("part"), "keys", "vals", arrays.array_count("vals").alias("held"), arrays.array_uniq("vals").alias("kinds"))
+
+
+@query("""SELECT doc_id, lang IS NOT DISTINCT FROM 'en' AS english, NULLIF(lang, 'en') IS NOT DISTINCT FROM NULL AS gone, list_has_all(w, ['the', 'of']) AS both_in, list_has_any(w, ['the', 'of', 'and']) AS one_in FROM (SELECT *, string_split(text, ' ') AS w FROM documents)""")
+def predicates_arrays(spark, sf):
+    words = read(spark, sf, "documents").withColumn("w", S.split_by_char("text", " "))
+    other = F.when(F.col("lang") != "en", F.col("lang"))
+    return words.select("doc_id", P.eq_null_safe("lang", "en").alias("english"), P.eq_null_safe(other, F.lit(None)).alias("gone"), P.has_all("w", ["the", "of"]).alias("both_in"), P.has_any("w", ["the", "of", "and"]).alias("one_in"))

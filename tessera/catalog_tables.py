@@ -575,6 +575,33 @@ def type_presets_stored(spark, sf):
     return spec.read(spark).select("id", "email", "status", "country", "tags", "codes", stamped.alias("stamped"), "phone")
 
 
+# Types that take arguments, by the Spark types that hold them.
+_BUILT = {
+    "decimal32": (t.decimal32(2), "decimal(9,2)"), "decimal64": (t.decimal64(4), "decimal(18,4)"), "decimal128": (t.decimal128(6), "decimal(38,6)"), "fixed_string": (t.fixed_string(3), "string"), "datetime64": (t.datetime64(6), "timestamp"),
+    "timestamp": (t.timestamp(), "timestamp"), "tuple": (t.tuple_(t.int32(), t.string()), "struct<_1:int,_2:string>"), "map": (t.map_(t.string(), t.int64()), "map<string,bigint>"), "nested": (t.nested({"a": t.int32(), "b": t.string()}), "array<struct<a:int,b:string>>"),
+    "low_cardinality": (t.low_cardinality(t.string()), "string"), "simple_aggregate_function": (t.simple_aggregate_function("sum", t.int64()), "bigint"), "aggregate_function": (t.aggregate_function("uniq", t.int64()), "binary"),
+    "primary_uuid": (types.primary_uuid(), "string"), "primary_uuid_v7": (types.primary_uuid_v7(), "string"), **{n: (c, "timestamp") for n, c in types.timestamps().items()}, **{n: (c, "boolean" if n == "is_deleted" else "timestamp") for n, c in types.soft_deletes().items()},
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{kind}')" for n, (_, kind) in _BUILT.items()) + ") AS v(builder, type)")
+def type_builders(spark, sf):
+    return spark.createDataFrame([(n, c.field().dataType.simpleString()) for n, (c, _) in _BUILT.items()], "builder string, type string")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name, coalesce(c_mktsegment, 'none') AS segment, 'web' AS channel, CAST(length(c_name) AS INTEGER) AS size, upper(c_name) AS loud, CAST(1 + c_custkey % 2 AS INTEGER) AS bits FROM customer")
+def type_computed(spark, sf):
+    """Defaults, columns computed as rows are written and columns computed as they are read; nested values go in and out."""
+    columns = {
+        "id": t.int64().primary_key(), "name": t.string().not_null().comment("as given"), "segment": t.string().default("none"), "channel": t.string().default_sql("lower('WEB')").codec("ZSTD"),
+        "size": t.int32().materialized("length(name)"), "loud": t.string().alias("upper(name)"), "marks": t.map_(t.string(), t.int64()),
+    }
+    spec = table("computed", columns, order_by="id", path=scratch.scratch_path(spark, "computed"))
+    marks = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("a"), F.lit(1).cast("long"))).otherwise(F.create_map(F.lit("a"), F.lit(1).cast("long"), F.lit("b"), F.lit(2).cast("long")))
+    dml.insert(spark, spec).values(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), marks.alias("marks"))).execute()
+    return spec.read(spark).select("id", "name", "segment", "channel", "size", "loud", F.size("marks").alias("bits"))
+
+
 # Schema tooling.
 
 
