@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 import threading
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +21,14 @@ from tessera.types import ColumnSpec, bounds, enum_values
 
 
 def _uuid7() -> str:
-    ms, rest = time.time_ns() // 1_000_000, uuid.uuid4().int
-    bits = (ms & ((1 << 48) - 1)) << 80 | 7 << 76 | (rest >> 64 & 0xFFF) << 64 | 2 << 62 | rest & ((1 << 62) - 1)
-    return str(uuid.UUID(int=bits))
+    ms, rest = time.time_ns() // 1_000_000, int.from_bytes(os.urandom(10), "big")
+    bits = (ms & ((1 << 48) - 1)) << 80 | 7 << 76 | (rest >> 62 & 0xFFF) << 64 | 2 << 62 | rest & ((1 << 62) - 1)
+    text = f"{bits:032x}"
+    return f"{text[:8]}-{text[8:12]}-{text[12:16]}-{text[16:20]}-{text[20:]}"
 
 
 def generated(kind: str) -> str:
-    return {"uuid1": lambda: str(uuid.uuid1()), "uuid4": lambda: str(uuid.uuid4()), "uuid6": _uuid6, "uuid7": _uuid7}[kind]()
+    return _GENERATORS[kind]()
 
 
 def _uuid6() -> str:
@@ -36,32 +38,36 @@ def _uuid6() -> str:
     return str(uuid.UUID(int=bits))
 
 
+_GENERATORS = {"uuid1": lambda: str(uuid.uuid1()), "uuid4": lambda: str(uuid.uuid4()), "uuid6": _uuid6, "uuid7": _uuid7}
+
+
 def _rows(spec: TableSpec, rows: Iterable[dict]) -> list[tuple]:
     columns = [c for c in spec.columns.values() if c.alias_expr is None]
-    keys = {k: c for k, c in spec.columns.items()}
-    known = {c.name for c in columns} | set(keys)
+    known = {c.name for c in columns} | set(spec.columns)
+    renamed = {k: c.name for k, c in spec.columns.items() if k != c.name}
+    cells = [_cell(c) for c in columns]
     out = []
     for r in rows:
-        lost = set(r) - known
-        if lost:
-            raise ValueError(f"{spec.name} has no column {', '.join(sorted(lost))}")
-        made = {keys[k].name if k in keys else k: v for k, v in r.items()}
-        out.append(tuple(_value(c, made) for c in columns))
+        if not known.issuperset(r):
+            raise ValueError(f"{spec.name} has no column {', '.join(sorted(set(r) - known))}")
+        made = {renamed.get(k, k): v for k, v in r.items()} if renamed else r
+        out.append(tuple([cell(made) for cell in cells]))
     return out
 
 
-def _value(c: ColumnSpec, row: dict) -> Any:
-    v = row.get(c.name)
-    if v is None and c.name not in row:
-        if c.default_fn is not None:
-            v = c.default_fn(row)
-        elif c.auto:
-            v = generated(c.auto)
-        elif c.default_value is not None:
-            v = c.default_value
-    if isinstance(c.data_type, T.VariantType) or (isinstance(v, (dict, list)) and isinstance(c.data_type, T.StringType)):
-        return None if v is None else v if isinstance(v, str) else json.dumps(v)
-    return v
+def _cell(c: ColumnSpec) -> Callable[[dict], Any]:
+    """The value of the column in a row: the one given, else its default."""
+    name, kind, value, auto = c.name, c.data_type, c.default_value, c.auto
+    lost = c.default_fn or (lambda row: generated(auto) if auto else value)
+    variant, text = isinstance(kind, T.VariantType), isinstance(kind, T.StringType)
+
+    def cell(row: dict) -> Any:
+        v = row[name] if name in row else lost(row)
+        if v is not None and not isinstance(v, str) and (variant or (text and isinstance(v, (dict, list)))):
+            return json.dumps(v)
+        return v
+
+    return cell
 
 
 def insert_plan(spark: SparkSession, spec: TableSpec, rows: Iterable[dict] | DataFrame, validate: bool = True) -> DataFrame:
@@ -81,21 +87,41 @@ def insert_plan(spark: SparkSession, spec: TableSpec, rows: Iterable[dict] | Dat
     else:
         held = T.StructType([T.StructField(c.name, T.StringType() if isinstance(c.data_type, T.VariantType) else c.data_type, True) for c in columns])
         df = _local(spark, _rows(spec, rows), held)
+    kept = spark.__dict__.setdefault("_tessera_stored", {})
     made = []
     for c in columns:
-        x: Column = F.col(f"`{c.name}`")
-        if isinstance(c.data_type, T.VariantType) and not isinstance(df.schema[c.name].dataType, T.VariantType):
-            x = F.parse_json(x.cast("string"))
-        elif df.schema[c.name].dataType != c.data_type:
-            x = x.cast(_relaxed(c.data_type))
-        if c.materialized_expr:
-            x = F.expr(c.materialized_expr).cast(c.data_type)
-        elif c.default_expr:
-            x = F.coalesce(x, F.expr(c.default_expr).cast(c.data_type))
-        made.append((_checked(c, x) if validate else x).alias(c.name))
+        key = c, df.schema[c.name].dataType, validate
+        try:
+            x = kept.get(key)
+        except TypeError:  # a default that can't be hashed
+            made.append(_stored(*key))
+            continue
+        if x is None:
+            if len(kept) >= KEPT:
+                kept.clear()
+            x = kept[key] = _stored(*key)
+        made.append(x)
     return df.select(*made)
 
 
+#: Columns' expressions that a session keeps, so that small inserts needn't make them anew.
+KEPT = 1024
+
+
+def _stored(c: ColumnSpec, given: T.DataType, validate: bool) -> Column:
+    """What is stored of a column that comes as ``given``."""
+    x: Column = F.col(f"`{c.name}`")
+    if isinstance(c.data_type, T.VariantType) and not isinstance(given, T.VariantType):
+        x = F.parse_json(x.cast("string"))
+    elif given != c.data_type:
+        x = x.cast(_relaxed(c.data_type))
+    if c.materialized_expr:
+        x = F.expr(c.materialized_expr).cast(c.data_type)
+    elif c.default_expr:
+        x = F.coalesce(x, F.expr(c.default_expr).cast(c.data_type))
+    return (_checked(c, x) if validate else x).alias(c.name)
+
+
 #: Rows from Python up to which an insert is one task and one file.
 ONE_FILE = 100_000
 
