@@ -250,3 +250,14 @@ def test_arrays_without_nulls(spark, tmp_path):
     assert rows(spec.read(spark)) == [(1, ["a"])]
     with pytest.raises(Exception, match="a null in an array"):
         dml.insert(spark, spec).values(spark.createDataFrame([(1, ["a", None])], "n int, tags array<string>")).execute()
+
+
+def test_kept_expressions_draw_defaults_anew(spark, tmp_path):
+    spec = table("drawn", {"id": t.int64(), "tag": t.string().default_sql("uuid()"), "label": t.string().default([1])}, order_by="id", path=str(tmp_path / "drawn"))
+    for n in range(2):
+        dml.insert(spark, spec).values([{"id": n, "label": "x"}, {"id": n + 10}]).execute()
+    rows = spec.read(spark).collect()
+    assert len({r["tag"] for r in rows}) == 4
+    assert sorted(r["label"] for r in rows) == ["[1]", "[1]", "x", "x"]
+    with pytest.raises(ValueError, match="other"):
+        dml.insert(spark, spec).values([{"id": 1, "other": 2}]).execute()
