@@ -180,7 +180,8 @@ def html_unescape(c: ColumnLike, every_entity: bool = False) -> Column:
 
 
 def format_decimal(c: ColumnLike, precision: int) -> Column:
-    return F.format_string(f"%.{precision}f", col(c).cast("double"))
+    x = col(c).cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%.{precision}f", x))
 
 
 def _scaled(c: ColumnLike, base: float, units: tuple[str, ...], precision: int, gap: str) -> Column:
@@ -193,9 +194,10 @@ def _scaled(c: ColumnLike, base: float, units: tuple[str, ...], precision: int,
     return out.otherwise(shown(0))
 
 
-def format_readable_decimal(c: ColumnLike, precision: int) -> Column:
-    """With a suffix for thousands, millions, billions or trillions."""
-    return _scaled(c, 1000, ("", "K", "M", "B", "T"), precision, "")
+def format_readable_decimal(c: ColumnLike, precision: int, largest: str = "T") -> Column:
+    """With a suffix for thousands, millions, billions or trillions, none above ``largest``."""
+    units = ("", "K", "M", "B", "T")
+    return _scaled(c, 1000, units[: units.index(largest) + 1], precision, "")
 
 
 def format_number(c: ColumnLike, digits: int) -> Column:

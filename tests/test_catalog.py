@@ -53,3 +53,19 @@ def test_the_as_of_join_has_one_exchange_and_no_product(spark, sf):
     plan = catalog.QUERIES["asof_left"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def same_on(spark, folder, name, **tables):
+    """Whether a query gives its SQL's rows on tables made by SQL."""
+    con = duckdb.connect()
+    for t, sql in tables.items():
+        con.sql(f"COPY ({sql}) TO '{folder}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    rel = con.sql(catalog.ORACLES[name])
+    mine = collections.Counter(plain(tuple(r)) for r in catalog.QUERIES[name](spark, str(folder)).select(*rel.columns).collect())
+    return mine == collections.Counter(plain(tuple(r)) for r in rel.fetchall())
+
+
+def test_formats_of_keys_beyond_a_million(spark, sf, tmp_path):
+    orders = f"SELECT * REPLACE (o_orderkey + 999000 AS o_orderkey, CASE WHEN o_orderkey <> 7 THEN o_totalprice END AS o_totalprice) FROM '{sf}/orders.parquet'"
+    assert same_on(spark, tmp_path, "conv_formats", orders=orders)

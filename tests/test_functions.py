@@ -99,6 +99,11 @@ def test_conversion(one):
     assert value(one, conversion.to_title_case(lit("ab cd"))) == "Ab Cd"
 
 
+def test_formats_of_large_and_missing_numbers(one):
+    assert value(one, conversion.format_readable_decimal(F.lit(1e9), 2)) == "1.00B" and value(one, conversion.format_readable_decimal(F.lit(1e9), 2, largest="M")) == "1000.00M"
+    assert value(one, conversion.format_decimal(F.lit(None).cast("double"), 2)) is None
+
+
 def test_times(spark):
     df = row(spark, "t timestamp_ntz", datetime.datetime(2024, 3, 31, 13, 47, 59))
     assert value(df, D.time_to_start_of_week("t")) == datetime.date(2024, 3, 31)
