@@ -49,6 +49,11 @@ def dsum(c) -> F.Column:
     return F.sum(c).cast("double")
 
 
+def rounded(c: F.Column, digits: int) -> F.Column:
+    """As DuckDB rounds a double: by its multiple as a double, where Spark goes by its decimal digits, so halves may differ."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 # Specifications of the tables, for the builder and the nested fetch.
 
 
@@ -367,8 +372,8 @@ def counter_delta(spark, sf):
 
 @query(f"""SELECT user_id, ts, round(CASE WHEN {_STEP} < 0 THEN v ELSE {_STEP} END / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1000000.0, 0), 6) AS rate FROM {_SERIES}""")
 def counter_rate(spark, sf):
-    series = read(spark, sf, "events").groupBy("user_id", "ts").agg(F.round(F.max("value"), 2).alias("v"))
-    return series.select("user_id", "ts", F.round(A.rate("v", "ts", ["user_id"]), 6).alias("rate"))
+    series = read(spark, sf, "events").groupBy("user_id", "ts").agg(rounded(F.max("value"), 2).alias("v"))
+    return series.select("user_id", "ts", rounded(A.rate("v", "ts", ["user_id"]), 6).alias("rate"))
 
 
 # Strings, conversion, hashes.

@@ -148,11 +148,15 @@ def increase(c: ColumnLike, time: ColumnLike, by: list[ColumnLike] | None = None
     return F.when(col(c) < before, col(c)).otherwise(col(c) - before)
 
 
+def _elapsed(time: ColumnLike, by: list[ColumnLike] | None) -> Column:
+    """Seconds since the row before. Whole microseconds are subtracted: seconds since 1970 as a double are off by some 1e-7."""
+    micros = F.unix_micros(col(time).cast("timestamp"))
+    return (micros - F.lag(micros).over(_series(time, by))) / 1e6
+
+
 def rate(c: ColumnLike, time: ColumnLike, by: list[ColumnLike] | None = None) -> Column:
     """Growth of a counter per second since the row before; null where no time has passed."""
-    w = _series(time, by)
-    seconds = F.unix_micros(col(time).cast("timestamp")) / 1e6
-    return F.try_divide(increase(c, time, by), seconds - F.lag(seconds).over(w))
+    return F.try_divide(increase(c, time, by), _elapsed(time, by))
 
 
 def increase_by(df: DataFrame, c: str, time: str, bucket: Column, by: list[str] | None = None, to: str = "increase") -> DataFrame:

@@ -69,3 +69,13 @@ def same_on(spark, folder, name, **tables):
 def test_formats_of_keys_beyond_a_million(spark, sf, tmp_path):
     orders = f"SELECT * REPLACE (o_orderkey + 999000 AS o_orderkey, CASE WHEN o_orderkey <> 7 THEN o_totalprice END AS o_totalprice) FROM '{sf}/orders.parquet'"
     assert same_on(spark, tmp_path, "conv_formats", orders=orders)
+
+
+def test_rates_over_microseconds(spark, tmp_path):
+    events = "SELECT i AS event_id, i % 2 AS user_id, TIMESTAMP '2024-01-01' + to_microseconds(i * (i % 2 * 134 + 3)) AS ts, CAST(i * 7919 % 56021 / 100 AS DOUBLE) AS value FROM range(1000) t(i)"
+    assert same_on(spark, tmp_path, "counter_rate", events=events)
+
+
+def test_rates_that_end_in_halves(spark, tmp_path):
+    events = "SELECT i AS event_id, i % 2 AS user_id, TIMESTAMP '2024-01-01' + to_microseconds(i * (16000000 - i % 2 * 15840000)) AS ts, CAST(i * 7919 % 560210 / 1000 AS DOUBLE) AS value FROM range(4000) t(i)"
+    assert same_on(spark, tmp_path, "counter_rate", events=events)
